@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from furlong.llm.common import cut
 
+#: Up to here (about 16 MB) the buckets' offsets are broadcast; beyond, Spark joins by shuffle.
+MAX_BROADCAST_BUCKETS = 1 << 20
+
 
 def external_shuffle(
     df: DataFrame,
@@ -53,6 +56,9 @@ def external_shuffle(
     offsets = counts.select(
         "bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("offset")
     )
+    # n_buckets rows of two numbers: known before the job, so the rows need no second shuffle.
+    if n_buckets <= MAX_BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     spot = F.col("offset") + F.col("place")
     return placed.join(offsets, "bucket").select(
         "row", F.pmod(spot, F.lit(n_shards)).cast("int").alias("shard"), F.floor(spot / n_shards).cast("long").alias("slot")
