@@ -151,17 +151,20 @@ def _likely(threshold: float):
     return run
 
 
-def _linked(percent: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
-
-    return run
+def _common(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of both sets, of what they share, and the elements that only b has."""
+    for batch in rows:
+        n_a, n_b, both, own = [], [], [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            n_a.append(len(x))
+            n_b.append(len(y))
+            own.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
+            both.append(len(y) - len(own[-1]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (n_a, n_b, both)), pa.array(own, pa.list_(pa.int64()))],
+            ["a", "b", "n_a", "n_b", "both", "own"],
+        )
 
 
 def connected(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -203,9 +206,11 @@ def near_classes(
 
     Copies (equal sets) become one node. Nodes share a band when ROWS registers agree; each
     node of a band is first compared with the band's least node only, which joins nearly all
-    of a group. Then, where a band still holds several components, nodes outside the largest
-    are compared with the others of the band, each pair in its first common band only. No
-    bucket is capped; a pair at the threshold misses all bands with probability 4e-7.
+    of a group. Where a band still holds several components, all its nodes are compared with
+    its best linked node, the hub. A pair that still lies in two components is then compared
+    only where the elements that both have beside the hub, with the smaller of their shares
+    of the hub, are enough for a link. That bound is exact and no bucket is capped; a pair at
+    the threshold misses all bands with probability 4e-7.
 
     Texts without a word, and null texts, are linked with nothing. Rows with a null id can
     link others but get a null component_id only when all reachable ids are null. Repeated
@@ -231,43 +236,64 @@ def near_classes(
     star = held.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     texts = source.where("doc_id is not null")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked: sizes, then likelihood, then the full sets."""
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and likelihood leave."""
         sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in "ab"]
         sized = pairs.join(sides[0], "a").join(sides[1], "b")
         sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        kind = f"a {id_type}, b {id_type}"
-        likely = cut(sized.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(_likely(percent / 100), kind))
+        return sized.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(_likely(percent / 100), f"a {id_type}, b {id_type}")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b, both, own) of the pairs, from the full sets."""
+        likely = cut(pairs)
         wanted = cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         sets = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
         sets = cut(sets.dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), f"node {id_type}, elements binary"))
         full = likely.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b"
         )
-        return cut(full.select("a", "b", "x", "y").mapInArrow(_linked(percent), kind))
-
-    links = check(star)
-    first = connected(links)
-    labelled = held.join(first, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-    per = cut(labelled.groupBy("key", "comp").agg(F.count("*").alias("m")))
-    split = cut(
-        per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1").select("key", "main")
-    )
-    open_ = labelled.join(split, "key").join(banded, "node")
-    open_ = cut(open_.select("key", "band", "node", "comp", "main", "bands"))
-    left = open_.where("comp <> main").select("key", "band", *[F.col(c).alias("l_" + c) for c in ("node", "comp", "main", "bands")])
-    pairs = left.join(open_.drop("band", "main"), "key").where(
-        (F.col("comp") != F.col("l_comp"))
-        & ((F.col("comp") == F.col("l_main")) | (F.col("node") > F.col("l_node")))
-        & (F.array_position(F.zip_with("bands", "l_bands", lambda x, y: x == y), True) == F.col("band") + 1)
-    )
-    pairs = pairs.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-    pairs = cut(pairs)
-    if not pairs.isEmpty():
-        more = check(pairs)
-        first = cut(connected(links.union(more), first))
-    by_set = cut(nodes.join(first, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id")))
+        kind = f"a {id_type}, b {id_type}, n_a long, n_b long, both long, own array<bigint>"
+        return full.select("a", "b", "x", "y").mapInArrow(_common, kind)
+
+    def linked(compared: DataFrame) -> DataFrame:
+        return compared.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+    def unsettled(comps: DataFrame) -> DataFrame:
+        """The members of the bands that still hold several components, with the band's largest."""
+        labelled = held.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+        labelled = cut(labelled)
+        per = cut(labelled.groupBy("key", "comp").agg(F.count("*").alias("m")))
+        split = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"))
+        return cut(labelled.join(cut(split.where("parts > 1").select("key", "main")), "key"))
+
+    links = cut(linked(compare(likely_pairs(star))))
+    comps = connected(links)
+    open_ = unsettled(comps)
+    if not open_.isEmpty():
+        # The hub of a band is the member of its largest component with most links so far.
+        degree = cut(links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree")))
+        ranked = cut(open_.where("comp = main").join(degree, "node", "left").select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree")))
+        hubs = cut(ranked.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("hub")))
+        spokes = open_.join(hubs, "key").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        to_hub = cut(compare(spokes))
+        links = cut(links.union(linked(to_hub)))
+        comps = connected(links, comps)
+        of = comps.select(F.col("node").alias("b"), "comp")
+        around = to_hub.join(of, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+        around = cut(around.join(of.select(F.col("b").alias("a"), F.col("comp").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a")))
+        left = around.where("comp <> main").select("a", *[F.col(c).alias("l_" + c) for c in ("b", "comp", "n_b", "both", "own")])
+        # What two sets share lies in the hub, at most the smaller of their shares of it, or beside it.
+        need = F.ceil(percent * (F.col("n_b") + F.col("l_n_b")) / (100 + percent)) - F.least("both", "l_both")
+        pairs = left.join(around, "a").where(
+            (F.col("comp") != F.col("l_comp"))
+            & ((F.col("comp") == F.col("main")) | (F.col("b") > F.col("l_b")))
+            & (F.least(F.size("own"), F.size("l_own")) >= need)
+            & ((need <= 0) | (F.size(F.array_intersect("own", "l_own")) >= need))
+        )
+        pairs = cut(pairs.select(F.least("b", "l_b").alias("a"), F.greatest("b", "l_b").alias("b")).distinct())
+        comps = connected(cut(links.union(linked(compare(likely_pairs(pairs))))), comps)
+    comps = cut(comps)
+    by_set = cut(nodes.join(comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id")))
     return rows.join(by_set, "set_key", "left").select(
         F.col("row").alias("doc_id"),
         "n_shingles",
