@@ -113,7 +113,7 @@ def test_bpe_equals_library_and_decodes(unique):
 
 def test_license_places_and_labels(unique):
     r = by_id(license_scan.scan_licenses(unique))[11]
-    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.score) == (4, 3, 10, "cc-by,gpl,mit", 1.0)
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.score) == (4, 3, 11, "cc-by,gpl,mit", 1.0)
     assert r.labels == "cc-by,gpl,mit,mit-notice"
     a = license_scan.Automaton("a [[b|c d]] {{3}} e {{x|y z}}")
     assert a.match("a e x".split(), 0) == 3 and a.match("a c d q q e y z".split(), 0) == 8 and a.match("a b q q q q e x".split(), 0) is None
