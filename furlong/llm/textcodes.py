@@ -11,7 +11,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Code points of text that are worked on at once; one longer text is a batch of its own.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
