@@ -18,7 +18,7 @@ from furlong.llm import textcodes as X
 from furlong.llm.pretokens import spans
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 
 
 class PerfectHash:
