@@ -57,3 +57,16 @@ def top_one(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
     """The first row of each group in the given total order."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+
+
+def from_shares(runners: DataFrame, shares: DataFrame, race: str = "race_id", number: str = "number", y: str = "y") -> DataFrame:
+    """(race, number, p, y) from betting shares (race, number, game_id, pool_turnover, share).
+
+    Of a race's pools the one with the largest turnover counts, of equal ones the least game_id.
+    Races without exactly one winner or with a runner without a share are left out.
+    """
+    pools = shares.groupBy(race, "game_id").agg(F.max("pool_turnover").alias("turnover"))
+    chosen = top_one(pools, [race], F.col("turnover").desc_nulls_last(), F.col("game_id")).select(race, "game_id")
+    held = runners.select(race, number, y).join(shares.join(chosen, [race, "game_id"]).select(race, number, "share"), [race, number], "left")
+    clean = keep_clean(held, race, F.col(y) == 1, F.col("share"))
+    return clean.select(race, number, share_of_group(F.col("share"), race).alias("p"), y)

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.operators import asof, market, models, ratings, scoring, splits
+from furlong.operators import asof, forecasts, market, models, ratings, scoring, splits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,11 +178,37 @@ def power_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(models.fit_power(_market(spark, sf_dir)), 3),)], "power double")
 
 
+def share_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flags stand for pools, quantity for shares and turnover."""
+    shares = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("race_id"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("game_id"),
+        F.col("l_quantity").alias("pool_turnover"), F.col("l_quantity").alias("share"),
+    )
+    return _rounded(market.from_shares(runners(spark, sf_dir), shares, number="price"), F.col("p"), "p")
+
+
+def day_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    races = _race_rows(spark, sf_dir).withColumn("dev", F.col("total") - 25.0 * F.col("n"))
+    got = asof.day_variant(races, "dev", "n", "method", "day")
+    return got.select("race_id", F.round("variant", 6).alias("variant"))
+
+
+def walk_forward_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses by fold of the market, its power form, a logit and their combination."""
+    frame = _market(spark, sf_dir).where("y is not null")
+    frame = frame.select("race_id", F.col("price").alias("number"), "date", "y", F.col("p").alias("p_market"), "qty", F.col("horse").alias("part"))
+    frame = frame.cache()
+    last = frame.agg(F.max("date")).first()[0]
+    got = forecasts.walk_forward(frame, ["qty", "part"], last - dt.timedelta(days=400), span_days=200, val_days=200)
+    return forecasts.fold_losses(got)
+
+
 def queries() -> dict:
     every = (
         market_logloss_brier, market_overround, race_cleaning_report, devig_probabilities, power_recalibrated, softmax_scores,
         centred_features, calibration_uniform, murphy_parts, clustered_mean_test, hist_counts, driver_rates, class_form,
         global_prior, par_fallback, elo_pre_race, fixed_split, walk_forward_folds, top_pool, json_props, clogit_fit, power_fit,
+        share_market, day_variant, walk_forward_forecasts,
     )
     return {f.__name__: f for f in every}
 
@@ -211,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "par_fallback": _RACES + f"select race_id, round(coalesce(case when sum(n) over m >= 30 then sum(total) over m / sum(n) over m end, sum(total) over w / sum(n) over w), 6) par from races window w as ({_BEFORE}), m as (partition by method {_BEFORE})",
         "fixed_split": "select o_orderkey, case when cast(o_orderdate as date) <= date '1998-12-26' then 'train' when cast(o_orderdate as date) > date '1998-12-31' and cast(o_orderdate as date) <= date '1999-12-31' then 'val' when cast(o_orderdate as date) > date '1999-12-31' then 'test' end part from orders",
         "walk_forward_folds": ", f as (select i, date '1999-01-01' + cast(91 * i as int) t from range(4) r(i)), d as (select cast(i as int) fold, case when cast(o_orderdate as date) < t - 3 then 'train' when cast(o_orderdate as date) >= t and cast(o_orderdate as date) < t + 91 then 'test' end part from orders, f) select fold, part, count(*) n from d where part is not null group by 1, 2",
+        "share_market": ", g as (select l_orderkey race_id, l_returnflag f, max(l_quantity) t from lineitem group by all), c as (select race_id, f from (select *, row_number() over (partition by race_id order by t desc, f) k from g) where k = 1), h as (select r.race_id, r.price, r.y, s.l_quantity share from runners r left join (select l_orderkey, l_extendedprice, l_quantity from lineitem join c on race_id = l_orderkey and f = l_returnflag) s on s.l_orderkey = r.race_id and s.l_extendedprice = r.price) select race_id, price, round(share / sum(share) over (partition by race_id), 6) p from h qualify sum(y) over (partition by race_id) = 1 and count(*) filter (share > 0) over (partition by race_id) = count(*) over (partition by race_id)",
+        "day_variant": _RACES + f", d as (select *, total - 25.0 * n dev, pow(2.0, day / 30) w from races) select race_id, round(coalesce(case when sum(n) over t >= 5 then sum(dev) over t / sum(n) over t end, sum(w * dev / n) over k / sum(w) over k, 0), 6) variant from d window t as (partition by method, day {_BEFORE}), k as (partition by method {_BEFORE})",
         "top_pool": "select race_id, price, qty from (select *, row_number() over (partition by race_id order by qty desc nulls last, price) r from runners) where r = 1",
         "json_props": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k from events",
     }
