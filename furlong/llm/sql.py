@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+EXACT_DEDUP = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents
+window same as (partition by coalesce(text, ''))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": EXACT_DEDUP}
