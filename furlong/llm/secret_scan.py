@@ -93,15 +93,15 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     part = F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv])
     every = found.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("x"))
-    placed = every.select(
-        "row", "x", part[F.col("x.kind")].alias("part"), F.floor(F.col("x.start") / scope).alias("scope_no"),
-    )
-    # A complement lies in the same scope number or a neighbouring one of those that a span touches.
+    placed = every.select("row", "x", part[F.col("x.kind")].alias("part"))
+    # A complement touches a scope number that a span touches, or a neighbouring one.
     reach = placed.select(
         "row", F.col("x").alias("y"), F.col("part").alias("other"),
         F.explode(F.sequence(F.floor(F.col("x.start") / scope) - 1, F.floor(F.col("x.end") / scope) + 1)).alias("scope_no"),
     )
-    weak_only = placed.where(F.col("x.kind").isin(*[k for k, _, _ in WEAK]))
+    weak_only = placed.where(F.col("x.kind").isin(*[k for k, _, _ in WEAK])).select(
+        "row", "x", "part", F.explode(F.sequence(F.floor(F.col("x.start") / scope), F.floor(F.col("x.end") / scope))).alias("scope_no")
+    )
     linked = (
         weak_only.join(reach, ["row", "scope_no"])
         .where(

@@ -181,6 +181,31 @@ def test_secret_spans(unique):
     assert {"user", "endpoint"} <= kinds(12) and not kinds(13)
 
 
+def test_secret_links_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    makers = (
+        lambda: "Ab1" + pick(37).upper(), lambda: "host: " + pick(24), lambda: "https://" + pick(rng.integers(10, 700)),
+        lambda: "login: " + pick(rng.integers(3, 500)), lambda: "password=" + pick(rng.integers(6, 300)),
+    )
+    texts = ["." * 180 + "Ab1" + "C" * 37 + "." * 185 + "host: " + "x" * 24]
+    for _ in range(150):
+        t = "." * rng.integers(0, 400)
+        for _ in range(rng.integers(2, 6)):
+            t += " " + makers[rng.integers(len(makers))]() + " " + "." * rng.integers(0, 420)
+        texts.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, far, seen = by_id(secret_scan.scan_secrets(df)), 0, 0
+    for i, t in enumerate(texts):
+        base = [(x.start, x.rank, x.end, x.kind) for x in got[i].base]
+        weak = [(m.start(), secret_scan.ORDER.index(k) + 1, m.end(), k) for k, p, _ in secret_scan.WEAK for m in re.finditer(p, t)]
+        part = lambda x: secret_scan.PARTS[x[3]]
+        linked = [x for x in weak if any(part(x) != part(y) and y[0] - x[2] <= 200 and x[0] - y[2] <= 200 for y in base + weak)]
+        assert [tuple(x) for x in got[i].spans] == sorted(base + linked)
+        seen, far = seen + len(linked), far + len(weak) - len(linked)
+    assert {x.kind for x in got[0].spans} == {"key40", "endpoint"} and seen > 100 and far > 20
+
+
 def test_redacted_text(unique):
     got = {r.doc_id: r.text for r in secret_scan.redact(unique).collect()}
     assert "hunter2" not in got[12] and "AKIA" not in got[12] and got[12].startswith("[SECRET] [SECRET] [SECRET]")
