@@ -37,7 +37,7 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     first = np.searchsorted(text_no, np.arange(len(texts) + 1))
     n = np.diff(first)
     rolled = np.zeros(len(h), dtype=np.uint64)
-    for i in range(k):
+    for i in range(min(k, len(h))):
         rolled[: len(h) - i] = X.mix(rolled[: len(h) - i] * X.ODD + h[i:] + np.uint64(i))
     sets = []
     for j, m in enumerate(n):

@@ -150,6 +150,16 @@ def test_near_classes_by_brute_force(spark):
         assert got == brute_components(rows, k, 80)
 
 
+def test_shingles_of_short_and_single_texts():
+    long = "word " * (1 << 17)
+    for t in ("a b", "a b c", "one", ""):
+        alone = near_dedup.shingle_sets([t], 5)[0].tolist()
+        assert len(alone) == bool(t)
+        assert near_dedup.shingle_sets([t, "x y z u v w", long], 5)[0].tolist() == alone
+    batches = [held for _, held in near_dedup.X.batches(["a b", long])]
+    assert len(batches) == 2 and all(len(s) == 1 for held in batches for s in near_dedup.shingle_sets(held, 5))
+
+
 def test_shards_hold_the_rows_law(unique):
     rows = sharding.external_shuffle(unique, n_shards=3, bucket_bytes=1000, min_buckets=4).collect()
     assert sorted(r.row.doc_id for r in rows) == list(range(len(TEXTS)))
