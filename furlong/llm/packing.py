@@ -112,49 +112,65 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(
-    pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, per_partition: int = 8000, rounds: int = 3, full_percent: float = 99.8
-) -> DataFrame:
+def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, per_partition: int = 8000, full_percent: float = 99.8) -> DataFrame:
     """``pieces`` (``keys`` and ``length``) with sequence_id, offset, and the certificate of their partition.
 
     Pieces are dealt to partitions of about ``per_partition`` by a hash; each is packed by
     best-fit decreasing and its bin count compared with its lower bound. Partitions whose
-    count equals the bound are certified, but for a last bin with room; from all others, and
-    those last bins, the pieces of bins under ``full_percent`` are exchanged: dealt anew to
-    fewer partitions and packed again, for ``rounds`` rounds. Pieces of ``capacity`` are sequences of their own from the start.
+    count equals the bound are certified: their bins are final, but for the emptiest if it is
+    under ``full_percent``. These, and all bins under ``full_percent`` of the other partitions, are
+    exchanged: their pieces are dealt anew to fewer partitions and packed again, as long as that
+    takes fewer bins, so that the gap to the bound falls; else they stay as they were.
+
+    ``part`` numbers the partition that made the sequence, ``bins`` and ``bound`` are its count and
+    lower bound when it was packed, exchanged bins included. Pieces of ``capacity`` are sequences and
+    partitions of their own from the start, with negative numbers.
     Keys need not be unique: a row number tells repeated rows apart.
     """
     rows = cut(pieces.select(*keys, "length", F.monotonically_increasing_id().alias("row")))
-    whole = rows.where(F.col("length") >= capacity).select(
-        *keys, "length", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+    named = [*keys, "length", "sequence_id", "offset", "part", "bins", "bound"]
+    own, one = (-1 - F.col("row")), F.lit(1).cast("long")
+    done = [
+        rows.where(F.col("length") >= capacity)
+        .withColumns({"sequence_id": own, "offset": F.lit(0).cast("long"), "part": own, "bins": one, "bound": one})
+        .select(*named)
+    ]
     open_ = rows.where(F.col("length") < capacity)
-    schema = f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, part int, bin long, offset long, load long, bins long, bound long"
+    schema = f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, part int, bin long, offset long, bins long, bound long, closed boolean"
 
     def bins(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True])
         sizes = pdf["length"].to_numpy()
         where, offset, loads = best_fit_decreasing(sizes, capacity)
-        return pdf.assign(
-            bin=where, offset=offset, load=np.array(loads, dtype=np.int64)[where], bins=len(loads), bound=lower_bound(sizes, capacity)
-        )
-
-    done = [whole]
-    for r in range(rounds):
-        n = open_.count()
-        if not n:
-            break
-        parts = 1 if n <= 200 else max(4, round(n / per_partition))
+        loads, bound = np.array(loads, dtype=np.int64), lower_bound(sizes, capacity)
+        closed = 100 * loads >= full_percent * capacity
+        if len(loads) == bound:
+            emptiest = int(loads.argmin())
+            closed = closed | (np.arange(bound) != emptiest)
+        return pdf.assign(bin=where, offset=offset, bins=len(loads), bound=bound, closed=closed[where])
+
+    def finished(packed: DataFrame, r: int) -> DataFrame:
+        part = F.lit(r).cast("long") * (1 << 31) + F.col("part")
+        return packed.select(*keys, "length", (part * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", part.alias("part"), "bins", "bound")
+
+    first = (F.col("offset") == 0) & (F.col("length") > 0)  # one piece of each bin
+    waiting, waiting_bins, parts = None, None, None
+    n, r = open_.count(), 0
+    while n:
+        # Later rounds pack what is left in fewer, larger partitions, of a size that one task holds.
+        wanted = round(n / (per_partition << min(r, 4)))
+        parts = (1 if n <= 200 else max(4, wanted)) if parts is None else max(1, min(parts, wanted))
         dealt = open_.withColumn("part", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(parts)).cast("int"))
         packed = cut(dealt.groupBy("part").applyInPandas(bins, schema))
-        last = r == rounds - 1
-        closed = F.lit(last) | (100 * F.col("load") >= full_percent * capacity)
-        done.append(
-            packed.where(closed).select(
-                *keys, "length", ((F.lit(r).cast("long") * (1 << 31) + F.col("part")) * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset"
-            )
-        )
-        open_ = packed.where(~closed).select(*keys, "length", "row")
+        total, left, n = packed.agg(F.count_if(first), F.count_if(first & ~F.col("closed")), F.count_if(~F.col("closed"))).first()
+        if waiting is not None and total >= waiting_bins:
+            break
+        done.append(finished(packed.where("closed"), r))
+        waiting, waiting_bins = finished(packed.where("not closed"), r), left
+        open_ = packed.where("not closed").select(*keys, "length", "row")
+        n, r = (n if left > 1 else 0), r + 1
+    if waiting is not None:
+        done.append(waiting)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -102,6 +102,32 @@ def test_lower_bound_holds():
     assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3 and packing.lower_bound(np.array([34] * 6), 100) == 3
 
 
+def test_certified_partitions_keep_their_bins(spark):
+    rng = np.random.default_rng(2)
+    mixes = {
+        "thirds": [683] * 401 + [2048] * 3,
+        "halves": [1024] * 300 + [700] * 101,
+        "gaps": rng.integers(500, 900, 700).tolist(),
+        "any": rng.integers(1, 2048, 900).tolist(),
+    }
+    for name, sizes in mixes.items():
+        df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "doc_id long, length long")
+        rows = packing.pack(df, ["doc_id"], per_partition=100).collect()
+        assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(sizes))
+        for s in {r.sequence_id for r in rows}:
+            own = sorted((r.offset, r.length) for r in rows if r.sequence_id == s)
+            assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
+        made = {}
+        for r in rows:
+            made.setdefault((r.part, r.bins, r.bound), set()).add(r.sequence_id)
+        assert len({p for p, _, _ in made}) == len(made)
+        for (_, bins, bound), own in made.items():
+            assert bound <= bins and len(own) <= bins and (bins > bound or len(own) >= bins - 1)
+        if name == "thirds":
+            assert all(bins == bound for _, bins, bound in made) and sum(map(len, made.values())) == 3 + 201
+            assert sum(len(own) for (p, _, _), own in made.items() if 0 <= p < 1 << 31) >= 201 - 4
+
+
 def test_bpe_equals_library_and_decodes(unique):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
