@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -25,9 +26,36 @@ END_ID = 0
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """What splits a text at the file's added tokens (they stay as every second part), and their ids."""
+    ids = {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
+    longest_first = sorted(ids, key=len, reverse=True)
+    return (re.compile(f"({'|'.join(map(re.escape, longest_first))})") if ids else None), ids
+
+
+def _split_encode(texts: list[str], path: str, encode: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` on the texts between added tokens: ids of all texts, joined, and where each text's start (with the end)."""
+    pattern, added = _added(path)
+    if pattern is None or not any(t in x for x in texts for t in added):
+        return encode(texts)
+    parts = [pattern.split(x) for x in texts]
+    ids, bounds = encode([x for own in parts for x in own[::2]])
+    out, ends, k = [], [0], 0
+    for own in parts:
+        n = 0
+        for j, x in enumerate(own):
+            if j % 2:
+                out.append(np.array([added[x]], dtype=ids.dtype))
+            else:
+                out.append(ids[bounds[k] : bounds[k + 1]])
+                k += 1
+            n += len(out[-1])
+        ends.append(ends[-1] + n)
+    return np.concatenate(out), np.array(ends, dtype=np.int64)
 
 
 def tokenised_pieces(
@@ -36,7 +64,8 @@ def tokenised_pieces(
     """Pieces of every text: doc_id, piece, start, length, ids (little-endian unsigned 32-bit, binary).
 
     A document is its token ids and then END_ID; only longer ones are cut, so that all pieces
-    but the first hold ``capacity`` tokens. Pre-tokens are looked up once each; the library
+    but the first hold ``capacity`` tokens. The tokenizer's added tokens, such as <|endoftext|>, keep
+    their own ids where a text holds them. Pre-tokens are looked up once each; the library
     encodes those not seen before by the worker. Null texts count as empty: one piece with END_ID.
     """
 
@@ -45,7 +74,7 @@ def tokenised_pieces(
         miss = lambda tokens: [e.ids for e in library.encode_batch_fast(tokens, add_special_tokens=False)]
         for batch in rows:
             for at, held in X.batches(batch.column(1).to_pylist()):
-                ids, bounds = seen.encode_batch(held, miss)
+                ids, bounds = _split_encode(held, tokenizer_path, lambda x: seen.encode_batch(x, miss))
                 index, piece, start, length, out = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], END_ID).astype("<u4")

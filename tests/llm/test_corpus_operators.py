@@ -93,6 +93,18 @@ def test_pieces_and_packing(unique):
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
 
 
+def test_added_tokens_keep_their_ids(spark):
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    texts = ["a<|endoftext|> b", "<|endoftext|><|endoftext|>", "plain text", "", "it's <|endoftext |>", "x " * 3000 + "<|endoftext|>'s\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(packing.tokenised_pieces(df, queries.TOKENIZER, queries.RANKS).collect(), key=lambda r: r.piece):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert 50256 in got[0]
+    for i, t in enumerate(texts):
+        assert got[i] == [*library.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_lower_bound_holds():
     rng = np.random.default_rng(1)
     for _ in range(200):
