@@ -100,6 +100,25 @@ def test_bet_distribution(spark):
     assert len(got) == 3
 
 
+def test_first_pool_of_a_start_counts(spark):
+    start = lambda n, **pools: {"number": n, "pools": {k: {"betDistribution": v} for k, v in pools.items()}}
+    leg = {
+        "id": "r1", "pools": {"V86": {"turnover": 9}, "V75": {"turnover": 5}},
+        "starts": [start(1, V86=6000, V75=5000), start(2, V75=1000, V86=4000), start(1, V75=1)],
+    }
+    none = {"id": "r2", "starts": [start(1, V86=None, V75=7), {"number": 2, "pools": None}, {"number": 3, "pools": {"vinnare": {"odds": 2}}}]}
+    docs = spark.createDataFrame([("g", json.dumps({"races": [leg, none]})), ("e", "{}"), ("x", None)], "game_id string, json string")
+    docs = docs.withColumn("doc", F.try_parse_json("json"))
+    got = documents.first_shares(docs)
+    assert sorted((r.race_id, r.number, r.bet_type, r.share) for r in got.collect()) == [
+        ("r1", 1, "V86", 0.6), ("r1", 2, "V75", 0.1), ("r2", 1, "V86", None),
+    ]
+    assert got.columns == documents.bet_distribution(docs).columns
+    runners = spark.createDataFrame([("r1", 1, 1), ("r1", 2, 0)], "race_id string, number int, y int")
+    shares = lambda f: sorted((r.number, round(r.p, 6)) for r in market.from_shares(runners, f).collect())
+    assert shares(got) == [(1, 0.857143), (2, 0.142857)] and shares(documents.bet_distribution(docs)) == []
+
+
 def test_ingest_is_resumable(spark, tmp_path):
     land, store = tmp_path / "landing", str(tmp_path / "store")
     for kind in ("calendar", "race", "game"):
