@@ -94,3 +94,36 @@ def test_cleaning_treats_nan_as_unusable(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 0, math.nan), (2, 1, 3.0), (3, 0, 1.0)], "race_id int, y int, odds double")
     got = market.cleaning_report(market.clean_groups(df, "race_id", F.col("y") == 1, F.col("odds"))).first()
     assert got.asDict() == {"n_races": 3, "excluded_winner": 1, "excluded_value": 1, "n_clean": 1}
+
+
+def test_sequence_and_sums_before_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(asof, "BLOCK", 7)
+    days = [None, None, *[dt.date(2024, 1, 1 + i % 9) for i in range(40)]]
+    rows = [(i * 37 % 101, d, None if i % 5 == 0 else i * 1.5, i) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "race_id int, date date, total double, n int")
+    seq = asof.race_sequence(df, "date", "race_id")
+    order = sorted(rows, key=lambda r: (r[1] or dt.date.min, r[0]))
+    assert {r.race_id: r.seq for r in seq.collect()} == {r[0]: k + 1 for k, r in enumerate(order)}
+    assert {r.seq for r in asof.race_sequence(df, "race_id").collect()} == set(range(1, len(rows) + 1))
+    summed = asof.with_sums_before(seq, s="total", c="n")
+    for r in summed.collect():
+        earlier = order[: r.seq - 1]
+        total = [x[2] for x in earlier if x[2] is not None]
+        assert (r.s, r.c) == (sum(total) if total else None, sum(x[3] for x in earlier) if earlier else None)
+
+
+def test_only_sums_go_through_one_task(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1, 2)], "race_id int, date date, wins int, n int")
+    seq = asof.race_sequence(df, "date", "race_id")
+
+    def check(node):
+        if node.nodeName() == "Window" and node.partitionSpec().isEmpty():
+            child = node.child()
+            while child.nodeName() == "Project":
+                child = child.child()
+            assert child.nodeName() == "Aggregate"
+        for i in range(node.children().size()):
+            check(node.children().apply(i))
+
+    for got in (seq, asof.global_prior(seq, "wins", "n", 0.1), asof.par_time(seq, "wins", "n", [["date"]])):
+        check(got._jdf.queryExecution().optimizedPlan())
