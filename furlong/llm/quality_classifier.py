@@ -24,7 +24,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Features are the words (runs without white space) and their character 3- to 5-grams with
     the word's edges, hashed to 2**BUCKET_BITS numbers, and ALWAYS. Repeats count.
     """
-    _, c, starts = X.codes([f"{t} " for t in texts])
+    _, c, starts = X.codes([f" {t} " for t in texts])
     blank = X.white(c)
     c = np.where(blank, np.uint32(32), c).astype(np.uint64)
     begin, end, _ = X.words(c, starts, blank)
@@ -45,9 +45,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         place = np.flatnonzero(inner)
         found.append(((h[place] * X.ODD) >> shift))
         at.append(place)
-    # An n-gram may start on the blank that ends the text before; it belongs to the text it reads.
-    owner = np.concatenate([np.searchsorted(starts, a + (i > 0), side="right") - 1 for i, a in enumerate(at)])
-    owner = np.minimum(owner, len(texts) - 1)
+    # Each text has a blank of its own on either side, so that no n-gram reads two texts.
+    owner = np.concatenate([np.searchsorted(starts, a, side="right") - 1 for a in at])
     every = np.concatenate([*found, np.full(len(texts), ALWAYS, dtype=np.uint64)]).astype(np.int64)
     owner = np.concatenate([owner, np.arange(len(texts))])
     order = np.argsort(owner, kind="stable")

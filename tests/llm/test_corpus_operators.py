@@ -276,6 +276,17 @@ def test_classifiers_on_held_out_rows(corpus):
     assert judged.where(F.col("kept") == (F.col("toxic") == 0)).count() >= 0.9 * held.count()
 
 
+def test_features_depend_on_the_text_only():
+    def of(texts):
+        f, bounds = quality_classifier.features(texts)
+        return [sorted(f[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    for t in ("hello", "a", "two words", " led by a blank", "", "ends \n"):
+        alone = of([t])[0]
+        assert of([t, "other text", t, "", t]) == [alone, of(["other text"])[0], alone, of([""])[0], alone]
+    assert len(of(["hello"])[0]) == 1 + 1 + 5 + 4 + 3
+
+
 def test_pipeline_stages_keep_columns(spark, corpus):
     docs, _ = corpus
     for _, stage in corpus_pipeline.STAGES[:-1]:
