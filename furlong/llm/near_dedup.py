@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import textcodes as X
-from furlong.llm.common import cut
+from furlong.llm.common import Scratch, cut, free_name, named
 
 #: Registers hold floor(1 - log_BASE(h)) for the least h of an exponential draw of rate RATE per element.
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -92,21 +93,24 @@ def joint_likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return grid[np.arange(len(grid)), score.argmax(axis=1)]
 
 
+def set_key(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
 def _sketch(k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for at, held in X.batches(texts):
                 n, keys, sketches = [], [], []
                 for s in shingle_sets(held, k):
                     n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(set_key(s) if len(s) else None)
                     sketches.append(registers(minima(s)).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(held)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
-                    ["row", "n_shingles", "set_key", "sketch"],
+                    [batch.column(0).slice(at, len(held)), batch.column(1).slice(at, len(held)),
+                     pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "set_key", "sketch"],
                 )
 
     return run
@@ -115,10 +119,11 @@ def _sketch(k: int):
 def _sets(k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, held in X.batches(texts):
-                sets = [s.tobytes() for s in shingle_sets(held, k)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), pa.array(sets, pa.binary())], ["node", "elements"])
+            for _, held in X.batches(batch.column(0).to_pylist()):
+                sets = shingle_sets(held, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "elements"]
+                )
 
     return run
 
@@ -151,49 +156,267 @@ def _likely(threshold: float):
     return run
 
 
-def _common(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of both sets, of what they share, and the elements that only b has."""
-    for batch in rows:
-        n_a, n_b, both, own = [], [], [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            n_a.append(len(x))
-            n_b.append(len(y))
-            own.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
-            both.append(len(y) - len(own[-1]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (n_a, n_b, both)), pa.array(own, pa.list_(pa.int64()))],
-            ["a", "b", "n_a", "n_b", "both", "own"],
-        )
+def _common(detail: bool):
+    """Sizes of both sets and of what they share; with ``detail`` also the elements that only b has and a map of those it misses.
+
+    The map has 256 bits in four numbers; bit i stands for the missed elements whose highest byte is i.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            n_a, n_b, both, own, maps = [], [], [], [], np.zeros((batch.num_rows, 4), dtype=np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                found = np.isin(y, x, assume_unique=True)
+                n_a.append(len(x))
+                n_b.append(len(y))
+                both.append(int(found.sum()))
+                if detail:
+                    own.append(y[~found].view(np.int64))
+                    place = np.unique(np.setdiff1d(x, y, assume_unique=True) >> np.uint64(56))
+                    np.bitwise_or.at(maps[i], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            columns, names = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (n_a, n_b, both))], ["a", "b", "n_a", "n_b", "both"]
+            if detail:
+                columns += [pa.array(own, pa.list_(pa.int64())), *(pa.array(maps[:, k].view(np.int64)) for k in range(4))]
+                names += ["own", *MAPS]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
 
+#: The columns of the map of missed elements.
+MAPS = ("m0", "m1", "m2", "m3")
 
-def connected(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node of ``edges`` (a, b): comp is the least node that it reaches.
 
-    Each round a node takes the least label around it, then its label's label, so a chain
-    shortens geometrically. Joins are on written tables, which Spark can split at hot keys;
-    the minimum is partial before its shuffle. ``known`` are labels from fewer edges to start from.
+    Each round a node takes the least label around it and then that label's own label, so a
+    chain shortens geometrically. A round reads and writes one table of labels.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.select(F.col("a").alias("node")).distinct()
-    if known is None:
-        labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
-    else:
-        labels = labels.join(known, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    labels = cut(labels)
+    both = scratch.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp"), F.lit(True).alias("moved")))
     while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("least"))
-        near = cut(
-            labels.join(around, labels["node"] == around["a"]).select("node", "comp", F.least("comp", "least").alias("new"))
+        via = labels.select(F.col("node").alias("via"), F.col("comp").alias("far"))
+        around = both.join(via, both["b"] == F.col("via")).groupBy("a").agg(F.min("far").alias("least"))
+        near = labels.join(around, labels["node"] == around["a"]).select("node", "comp", F.least("comp", "least").alias("new"))
+        jumped = near.join(via, near["new"] == F.col("via")).select("node", F.least("new", "far").alias("new"), F.col("comp").alias("old"))
+        after = scratch.write(jumped.select("node", F.col("new").alias("comp"), (F.col("new") < F.col("old")).alias("moved")))
+        scratch.drop(labels)
+        labels = after
+        if labels.where("moved").isEmpty():
+            scratch.drop(both)
+            return labels
+
+
+class _Classes:
+    """The steps of ``near_classes``. Nodes are numbers of rows; each stands for one set of shingles."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> None:
+        self.scratch = Scratch(df.sparkSession)
+        self.shingle, self.percent = shingle, percent
+        text = named(text_col)
+        self.source = df.select(named(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+        sketched = self.source.mapInArrow(
+            _sketch(shingle), f"doc_id {dict(self.source.dtypes)['doc_id']}, text_hash long, n_shingles long, set_key binary, sketch binary"
         )
-        jump = near.select(F.col("node").alias("via"), F.col("new").alias("far"))
-        moved = near.join(jump, near["new"] == jump["via"], "left").select(
-            "node", "comp", F.least("new", F.coalesce("far", "new")).alias("new")
+        write = self.scratch.write
+        self.rows = write(sketched.withColumn("row", F.monotonically_increasing_id()))
+        self.nodes = write(
+            self.rows.where("set_key is not null")
+            .groupBy("set_key")
+            .agg(F.min(F.struct("row", "doc_id")).alias("first"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+            .select("set_key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), "least_id", "n", "sketch")
         )
-        moved = cut(moved)
-        labels = moved.select("node", F.col("new").alias("comp"))
-        if moved.where("new < comp").isEmpty():
-            return labels
+        self.comps: DataFrame | None = None
+
+    def bands(self) -> DataFrame:
+        """(key, node) of the bands that two nodes at least share, and each node's company there as ``pop``."""
+        write = self.scratch.write
+        members = self.nodes.select("node", "sketch").mapInArrow(_bands, "node long, bands array<bigint>").select(F.explode("bands").alias("key"), "node")
+        shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        held = write(members.join(shared, "key").select("key", "node", "m"))
+        pop = write(held.groupBy("node").agg(F.sum("m").alias("pop")))
+        out = write(held.join(pop, "node").select("key", "node", "pop"))
+        self.scratch.drop(held)
+        self.pop = pop
+        return out
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that set sizes and joint likelihood leave, with both sets' keys."""
+        sides = [self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in "ab"]
+        sized = pairs.join(sides[0], "a").join(sides[1], "b")
+        sized = sized.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        return sized.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(_likely(self.percent / 100), "a long, b long")
+
+    def compare(self, pairs: DataFrame, detail: bool = False) -> DataFrame:
+        """(a, b, n_a, n_b, both) of the pairs, from the full sets, and with ``detail`` what ``_common`` adds."""
+        write = self.scratch.write
+        pairs = write(pairs)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = write(self.nodes.join(ends, "node", "left_semi").select("node", "doc_id", F.col("set_key").alias("wanted_key")))
+        ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+        texts = self.source.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+        # An id can repeat with other texts, so the key of the set decides which one a node stands for.
+        sets = texts.mapInArrow(_sets(self.shingle), "set_key binary, elements binary")
+        sets = write(sets.join(wanted.select("node", "wanted_key"), F.col("set_key") == F.col("wanted_key")).dropDuplicates(["node"]).select("node", "elements"))
+        self.scratch.drop(wanted)
+        heads = pairs.select("a").distinct()
+        of_a = sets.join(heads, F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.col("elements").alias("x"))
+        full = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").join(of_a, "a")
+        more = ", own array<bigint>" + "".join(f", {m} long" for m in MAPS) if detail else ""
+        return full.select("a", "b", "x", "y").mapInArrow(_common(detail), "a long, b long, n_a long, n_b long, both long" + more)
+
+    def linked(self, compared: DataFrame) -> DataFrame:
+        return compared.where(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+    def labelled(self, df: DataFrame, col: str = "node", out: str = "comp") -> DataFrame:
+        """``df`` with the component of its column ``col``; a node without links is its own."""
+        if self.comps is None:
+            return df.withColumn(out, F.col(col))
+        known = self.comps.select(F.col("node").alias("known"), F.col("comp").alias("known_comp"))
+        joined = df.join(known, F.col(col) == F.col("known"), "left").withColumn(out, F.coalesce("known_comp", col))
+        return joined.drop("known", "known_comp")
+
+    def merge(self, links: DataFrame) -> bool:
+        """Take ``links`` (a, b) into the components; whether any two of them became one."""
+        write = self.scratch.write
+        links = write(links.distinct())
+        between = self.labelled(self.labelled(links, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        between = write(between.distinct())
+        if between.isEmpty():
+            self.scratch.drop(links, between)
+            return False
+        up = connected(between, self.scratch)
+        own = links.select(F.col("a").alias("node"), F.col("a").alias("comp")).union(links.select("b", "b"))
+        if self.comps is not None:
+            own = own.union(self.comps)
+        own = own.groupBy("node").agg(F.min("comp").alias("comp"))
+        lifted = up.select(F.col("node").alias("was"), F.col("comp").alias("top"))
+        after = write(own.join(lifted, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("top", "comp").alias("comp")))
+        self.scratch.drop(links, between, up, self.comps)
+        self.comps = after
+        return True
+
+    def unsettled(self, held: DataFrame) -> DataFrame:
+        """The rows of ``held`` (key, node, pop) in bands with several components, with node's and the largest one's, and their number."""
+        labelled = self.labelled(held)
+        per = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"))
+        split = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return self.scratch.write(labelled.join(split, "key").select("key", "node", "pop", "comp", "main", "parts"))
+
+    def to_heads(self, held: DataFrame) -> DataFrame:
+        """One pair for each node of ``held`` (key, node, pop, comp): the head that most of its bands have.
+
+        A band's head is its node that keeps most company in all its bands, so near copies of
+        one text agree on a head and each is compared once.
+        """
+        heads = held.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("pop", "node")).alias("head"))
+        pairs = held.join(heads, "key").where("head.comp <> comp").select("node", F.col("head.node").alias("head"))
+        return pairs.groupBy("node").agg(F.mode("head", True).alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+    def star_rounds(self, held: DataFrame, rounds: int = 5) -> DataFrame:
+        """Compare with heads, then those outside a band's largest component with heads of their own, while that links.
+
+        The bands that still hold several components are returned; no round decides against a pair.
+        """
+        first = active = None
+        for _ in range(rounds):
+            now = held.withColumn("comp", F.col("node")) if active is None else active
+            moved = self.merge(self.linked(self.compare(self.likely(self.to_heads(now)))))
+            if first is None:
+                first = self.unsettled(held)
+                left = first
+            else:
+                left = self.unsettled(active.select("key", "node", "pop"))
+            outside = self.scratch.write(left.where("comp <> main and parts > 2").select("key", "node", "pop", "comp"))
+            if active is not None:
+                self.scratch.drop(active, left)
+            active = outside
+            if not moved or active.isEmpty():
+                break
+        self.scratch.drop(active, held)
+        return first
+
+    def near_hubs(self, first: DataFrame) -> None:
+        """Link what is left in bands with several components, by way of a hub for each band.
+
+        The hub is the node of the band's largest component that keeps most company; all nodes of
+        the band are compared with it. What two nodes share lies in the hub or beside it. Their maps
+        of the hub's elements that they miss bound the first part, so it is known how many elements
+        beside the hub they must share. Pairs that need any are found by joining those elements; the others are
+        those of like size whose bound does alone. Only such pairs of two components are compared.
+        """
+        write, p = self.scratch.write, self.percent
+        open_ = self.unsettled(first.select("key", "node", "pop"))
+        self.scratch.drop(first)
+        if open_.isEmpty():
+            self.scratch.drop(open_)
+            return
+        center = self.labelled(self.pop).groupBy("comp").agg(F.max_by("node", F.struct("pop", "node")).alias("hub")).withColumnRenamed("comp", "main")
+        spokes = write(open_.join(center, "main").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        to_hub = write(self.compare(spokes, detail=True))
+        self.merge(self.linked(to_hub))
+        bits = sum((F.bit_count(m) for m in MAPS), F.lit(0))
+        known = self.labelled(self.labelled(to_hub, "b"), "a", "main")
+        known = known.withColumns({"n_own": F.size("own"), "missed": F.col("n_a") - F.col("both"), "bits": bits})
+        known = write(known)
+        per_hub = known.groupBy("a").agg(F.min("n_b").alias("least_n"), F.count("*").alias("members"))
+        element = known.select("a", "b", F.explode("own").alias("e"))
+        common = element.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")
+        # Rarest first; elements that no other node of the hub has would come before all and meet nothing.
+        ordered = element.join(common, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("met"))
+        hot = F.size(F.filter("met", lambda x: 2 * x["f"] > F.col("members")))
+        around = known.drop("own").join(per_hub, "a").join(ordered, ["a", "b"], "left")
+        around = around.withColumn("met", F.coalesce("met", F.array().cast(dict(ordered.dtypes)["met"]))).withColumn("n_hot", hot)
+        # The fewest elements that any partner's need leaves beside the hub and the elements that most of its nodes
+        # have; so the last but that many, in any order, need not be looked at.
+        partner = F.greatest(F.ceil(p * F.col("n_b") / 100), "least_n")
+        around = around.withColumn("partner", partner).withColumn(
+            "fewest", F.greatest(F.lit(1), F.ceil(p * (F.col("n_b") + F.col("partner")) / (100 + p)) - F.col("both") - F.col("n_hot"))
+        )
+        first_met = F.size("met") - F.col("n_hot") - F.col("fewest") + 1
+        met = F.transform(F.slice("met", F.lit(1), F.greatest(F.lit(0), first_met).cast("int")), lambda x: x["e"])
+        around = write(around.withColumn("n_rare", F.col("n_own") - F.col("n_hot")).withColumn("met", met).drop("least_n", "members", "n_own"))
+        self.scratch.drop(open_, spokes, to_hub, known)
+        plain = [c for c in around.columns if c != "met"]
+        other_side = ["a", *[F.col(c).alias("l_" + c) for c in plain if c not in ("a", "n_a", "main")]]
+        left = around.where("comp <> main").select(*other_side)
+        # Common missed elements: one for each common bit, and no more beside than either has elements above its bits.
+        common_bits = sum((F.bit_count(F.col(m).bitwiseAND(F.col("l_" + m))) for m in MAPS), F.lit(0))
+        both_miss = F.least("missed", "l_missed", common_bits + F.least(F.col("missed") - F.col("bits"), F.col("l_missed") - F.col("l_bits")))
+        in_hub = F.col("n_a") - F.col("missed") - F.col("l_missed") + both_miss
+        need = F.ceil(p * (F.col("n_b") + F.col("l_n_b")) / (100 + p)) - in_hub - F.least("n_hot", "l_n_hot")
+        apart = (F.col("comp") != F.col("l_comp")) & ((F.col("comp") == F.col("main")) | (F.col("b") > F.col("l_b")))
+        like = 100 * F.least("n_b", "l_n_b") >= p * F.greatest("n_b", "l_n_b")
+        pair = [F.least("b", "l_b").alias("a"), F.greatest("b", "l_b").alias("b")]
+        one = around.select(*plain, F.explode("met").alias("e"))
+        other = around.where("comp <> main").select(*other_side, F.explode("met").alias("e"))
+        meet = one.join(other, ["a", "e"]).where(apart & like & (need > 0) & (F.least("n_rare", "l_n_rare") >= need))
+        beyond = F.greatest("fewest", "l_fewest") - 1
+        meet = meet.groupBy("a", "b", "l_b").agg(F.count("*").alias("shared"), F.first(need - beyond).alias("need")).where("shared >= need").select(*pair)
+        # Sizes of pairs are in neighbouring classes of a geometric scale. A node whose share of the hub is too
+        # small for a link with the least partner there takes no part.
+        size = lambda n: F.floor(F.log(F.col(n).cast("double")) / max(np.log(100 / p), 1e-6)).cast("long")
+        close = left.where((100 + p) * (F.col("l_both") + F.col("l_n_hot")) >= p * (F.col("l_n_b") + F.col("l_partner")))
+        close = close.withColumn("size", F.explode(F.array(*[size("l_n_b") + d for d in (-1, 0, 1)])))
+        alone = around.select(*plain, size("n_b").alias("size")).join(close, ["a", "size"]).where(apart & like & (need <= 0)).select(*pair)
+        pairs = write(meet.union(alone).distinct())
+        self.merge(self.linked(self.compare(self.likely(pairs))))
+        self.scratch.drop(around, pairs)
+
+    def result(self) -> DataFrame:
+        """One row per input row: doc_id, text_hash, n_shingles, component_id."""
+        nodes = self.labelled(self.nodes.select("set_key", "node", "least_id"))
+        ids = nodes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+        by_set = self.scratch.write(nodes.join(ids, "comp").select("set_key", "component_id"))
+        return self.rows.join(by_set, "set_key", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    job = _Classes(df, id_col, text_col, shingle, percent)
+    job.near_hubs(job.star_rounds(job.bands()))
+    return job.result()
 
 
 def near_classes(
@@ -204,107 +427,29 @@ def near_classes(
     Rows are linked when 100 * |intersection| >= percent * |union| of their shingle sets
     (hashes of 64 bits stand for shingles); component_id is the least id that links reach.
 
-    Copies (equal sets) become one node. Nodes share a band when ROWS registers agree; each
-    node of a band is first compared with the band's least node only, which joins nearly all
-    of a group. Where a band still holds several components, all its nodes are compared with
-    its best linked node, the hub. A pair that still lies in two components is then compared
-    only where the elements that both have beside the hub, with the smaller of their shares
-    of the hub, are enough for a link. That bound is exact and no bucket is capped; a pair at
-    the threshold misses all bands with probability 4e-7.
+    Copies (equal sets) become one node. Nodes share a band when ROWS registers agree. A node is
+    first compared with the one head that most of its bands agree on, which joins nearly all of a group;
+    what is left is found by way of hubs (``_Classes.near_hubs``), whose bound is exact. No bucket
+    is capped; a pair at the threshold misses all bands with probability 4e-7.
 
     Texts without a word, and null texts, are linked with nothing. Rows with a null id can
-    link others but get a null component_id only when all reachable ids are null. Repeated
-    rows are copies. Extra columns are ignored. An empty table gives an empty result.
+    link others but get a null component_id only when all reachable ids are null, and are kept. Repeated
+    rows are copies; an id with several texts is several nodes. Extra columns are ignored. An empty
+    table gives an empty result.
     """
-    spark = df.sparkSession
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # Rows are numbered by their ids where ids are numbers, so that a node is found again by its id.
-    rows = cut(
-        source.select("doc_id", "text")
-        .mapInArrow(_sketch(shingle), "row " + dict(source.dtypes)["doc_id"] + ", n_shingles long, set_key binary, sketch binary")
-    )
-    nodes = cut(
-        rows.where("set_key is not null and row is not null")
-        .groupBy("set_key")
-        .agg(F.min("row").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    )
-    id_type = dict(source.dtypes)["doc_id"]
-    banded = nodes.select("node", "sketch").mapInArrow(_bands, f"node {id_type}, bands array<bigint>")
-    members = cut(banded.select("node", F.posexplode("bands").alias("band", "key")))
-    heads = cut(members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"))
-    held = cut(members.join(heads, "key").select("key", "band", "node", "head"))
-    star = held.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    texts = source.where("doc_id is not null")
-
-    def likely_pairs(pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and likelihood leave."""
-        sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in "ab"]
-        sized = pairs.join(sides[0], "a").join(sides[1], "b")
-        sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return sized.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(_likely(percent / 100), f"a {id_type}, b {id_type}")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """(a, b, n_a, n_b, both, own) of the pairs, from the full sets."""
-        likely = cut(pairs)
-        wanted = cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-        sets = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
-        sets = cut(sets.dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), f"node {id_type}, elements binary"))
-        full = likely.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b"
-        )
-        kind = f"a {id_type}, b {id_type}, n_a long, n_b long, both long, own array<bigint>"
-        return full.select("a", "b", "x", "y").mapInArrow(_common, kind)
-
-    def linked(compared: DataFrame) -> DataFrame:
-        return compared.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-
-    def unsettled(comps: DataFrame) -> DataFrame:
-        """The members of the bands that still hold several components, with the band's largest."""
-        labelled = held.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-        labelled = cut(labelled)
-        per = cut(labelled.groupBy("key", "comp").agg(F.count("*").alias("m")))
-        split = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"))
-        return cut(labelled.join(cut(split.where("parts > 1").select("key", "main")), "key"))
-
-    links = cut(linked(compare(likely_pairs(star))))
-    comps = connected(links)
-    open_ = unsettled(comps)
-    if not open_.isEmpty():
-        # The hub of a band is the member of its largest component with most links so far.
-        degree = cut(links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree")))
-        ranked = cut(open_.where("comp = main").join(degree, "node", "left").select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree")))
-        hubs = cut(ranked.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("hub")))
-        spokes = open_.join(hubs, "key").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        to_hub = cut(compare(spokes))
-        links = cut(links.union(linked(to_hub)))
-        comps = connected(links, comps)
-        of = comps.select(F.col("node").alias("b"), "comp")
-        around = to_hub.join(of, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
-        around = cut(around.join(of.select(F.col("b").alias("a"), F.col("comp").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a")))
-        left = around.where("comp <> main").select("a", *[F.col(c).alias("l_" + c) for c in ("b", "comp", "n_b", "both", "own")])
-        # What two sets share lies in the hub, at most the smaller of their shares of it, or beside it.
-        need = F.ceil(percent * (F.col("n_b") + F.col("l_n_b")) / (100 + percent)) - F.least("both", "l_both")
-        pairs = left.join(around, "a").where(
-            (F.col("comp") != F.col("l_comp"))
-            & ((F.col("comp") == F.col("main")) | (F.col("b") > F.col("l_b")))
-            & (F.least(F.size("own"), F.size("l_own")) >= need)
-            & ((need <= 0) | (F.size(F.array_intersect("own", "l_own")) >= need))
-        )
-        pairs = cut(pairs.select(F.least("b", "l_b").alias("a"), F.greatest("b", "l_b").alias("b")).distinct())
-        comps = connected(cut(links.union(linked(compare(likely_pairs(pairs))))), comps)
-    comps = cut(comps)
-    by_set = cut(nodes.join(comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id")))
-    return rows.join(by_set, "set_key", "left").select(
-        F.col("row").alias("doc_id"),
-        "n_shingles",
-        F.coalesce("component_id", "row").alias("component_id"),
-        F.coalesce(F.col("row") == F.coalesce("component_id", "row"), F.lit(True)).alias("kept"),
-    )
+    same = F.col("doc_id") == F.col("component_id")
+    return _classes(df, id_col, text_col, shingle, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(same, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``df`` with one row of each component, all columns unchanged. Rows with a null id stay."""
-    gone = near_classes(df, id_col, text_col, shingle, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return df.join(cut(gone.distinct()), F.col(id_col) == F.col("__gone"), "left_anti")
+    """``df`` with the rows of each component that have its least id, all columns unchanged.
+
+    Of an id with several texts only texts of a component with a lesser id go. Repeated rows stay or go together,
+    rows with a null id stay. Column names of ``df`` cannot clash. An empty table gives an empty result.
+    """
+    gone = _classes(df, id_col, text_col, shingle, percent).where("doc_id <> component_id")
+    gone = cut(gone.select(F.struct(F.col("doc_id").alias("id"), "text_hash").alias(free_name(df, "gone"))).distinct())
+    match = (named(id_col) == gone[gone.columns[0]]["id"]) & (F.xxhash64(named(text_col)) == gone[gone.columns[0]]["text_hash"])
+    return df.join(gone, match, "left_anti")
