@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Phrase and label of the base scan.
 PHRASES = (
-    ("general public license", "gpl"),
+    ("gnu general public license", "gpl"),
     ("apache license", "apache"),
     ("cc by", "cc-by"),
     ("mit license", "mit"),
