@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import repeat
@@ -64,7 +64,59 @@ class PerfectHash:
         return np.where(self.keys[place] == keys, self.value[place], -1)
 
 
-class Vocabulary:
+class Seen:
+    """Ids of pre-tokens that a worker has met, at most about ``limit`` of them."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.whole_rank = limit, getattr(self, "whole_rank", np.empty(0, dtype=np.uint32))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[int, int] = {}
+        self.first, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
+
+    def encode(self, texts: list[str], miss: Callable, find: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, joined, and where each text's ids start (with the end).
+
+        ``find`` gives numbers in ``whole_rank`` of hashed pre-tokens, or -1; ``miss`` turns a list of other
+        pre-tokens into lists of ids, once each as long as they are remembered.
+        """
+        whole, c, starts = X.codes(texts)
+        begin = spans(c, starts)
+        end = np.append(begin[1:], len(c)).astype(np.int64)
+        keys = X.span_hash(X.prefix_sums(c), begin, end)
+        distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+        known = find(distinct) if find else np.full(len(distinct), -1)
+        if len(self.seen) > self.limit:
+            self._forget()
+        missed, hits = np.flatnonzero(known < 0), np.flatnonzero(known >= 0)
+        slot = np.array([*map(self.seen.get, distinct[missed].tolist(), repeat(-1))], dtype=np.int64)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            tokens = [whole[begin[i] : end[i]] for i in sample[missed[lost]].tolist()]
+            found = miss(tokens)
+            n_before = len(self.first) - 1
+            slot[lost] = np.arange(n_before, n_before + len(lost))
+            self.seen.update(zip(distinct[missed[lost]].tolist(), slot[lost].tolist(), strict=True))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
+        # Ids of distinct pre-tokens: those of the perfect hash first, then what is remembered.
+        n_own = np.ones(len(distinct), dtype=np.int64)
+        n_own[missed] = self.first[slot + 1] - self.first[slot]
+        base = np.zeros(len(distinct), dtype=np.int64)
+        base[hits] = np.arange(len(hits))
+        base[missed] = len(hits) + self.first[slot]
+        own = np.concatenate([self.whole_rank[known[hits]], self.ids])
+        counts = n_own[which]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(base[which] - (ends - counts), counts) + np.arange(total)
+        token_of = np.searchsorted(begin, starts)
+        bounds = np.concatenate([[0], ends])[token_of]
+        return own[place] if total else own[:0], bounds
+
+
+class Vocabulary(Seen):
     """Ranks of byte strings, with the perfect hash over those that are UTF-8 texts."""
 
     def __init__(self, path: str) -> None:
@@ -90,11 +142,7 @@ class Vocabulary:
         _, c, starts = X.codes([t for t, _ in whole])
         self.hash = PerfectHash(X.span_hash(X.prefix_sums(c), starts[:-1], starts[1:]))
         self.whole_rank = np.array([r for _, r in whole], dtype=np.uint32)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.seen: dict[int, int] = {}
-        self.first, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
+        super().__init__(REMEMBERED)
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token: the lowest-ranked neighbours merge first, leftmost among equals."""
@@ -124,44 +172,9 @@ class Vocabulary:
                 heappush(heap, s << 32 | h)
         return [p for p in part if p >= 0]
 
-    def encode_batch(self, texts: list[str], miss=None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, joined, and where each text's ids start (with the end).
-
-        ``miss`` turns a list of unknown pre-tokens into lists of ids; by default ``merge``.
-        """
-        whole, c, starts = X.codes(texts)
-        begin = spans(c, starts)
-        end = np.append(begin[1:], len(c)).astype(np.int64)
-        keys = X.span_hash(X.prefix_sums(c), begin, end)
-        distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
-        known = self.hash.find(distinct) if miss is None else np.full(len(distinct), -1)
-        if len(self.seen) > REMEMBERED:
-            self._forget()
-        missed, hits = np.flatnonzero(known < 0), np.flatnonzero(known >= 0)
-        slot = np.array([*map(self.seen.get, distinct[missed].tolist(), repeat(-1))], dtype=np.int64)
-        lost = np.flatnonzero(slot < 0)
-        if len(lost):
-            tokens = [whole[begin[i] : end[i]] for i in sample[missed[lost]].tolist()]
-            found = miss(tokens) if miss else [self.merge(t.encode("utf-8", "surrogatepass")) for t in tokens]
-            n_before = len(self.first) - 1
-            slot[lost] = np.arange(n_before, n_before + len(lost))
-            self.seen.update(zip(distinct[missed[lost]].tolist(), slot[lost].tolist(), strict=True))
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
-        # Ids of distinct pre-tokens: those of the perfect hash first, then what is remembered.
-        n_own = np.ones(len(distinct), dtype=np.int64)
-        n_own[missed] = self.first[slot + 1] - self.first[slot]
-        base = np.zeros(len(distinct), dtype=np.int64)
-        base[hits] = np.arange(len(hits))
-        base[missed] = len(hits) + self.first[slot]
-        own = np.concatenate([self.whole_rank[known[hits]], self.ids])
-        counts = n_own[which]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(base[which] - (ends - counts), counts) + np.arange(total)
-        token_of = np.searchsorted(begin, starts)
-        bounds = np.concatenate([[0], ends])[token_of]
-        return own[place] if total else own[:0], bounds
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, joined, and where each text's ids start (with the end)."""
+        return self.encode(texts, lambda tokens: [self.merge(t.encode("utf-8", "surrogatepass")) for t in tokens], self.hash.find)
 
 
 @cache

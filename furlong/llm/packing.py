@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import textcodes as X
-from furlong.llm.bpe import vocabulary
+from furlong.llm.bpe import Seen
 from furlong.llm.common import cut
 
 CAPACITY = 2048
+#: Distinct pre-tokens whose ids a worker remembers, about 30 MB; beyond that it starts anew.
+REMEMBERED = 150_000
 #: Ends every document.
 END_ID = 0
 
@@ -29,6 +31,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _seen(path: str) -> Seen:
+    """What this worker has looked up with the tokenizer of ``path``."""
+    return Seen(REMEMBERED)
+
+
 @cache
 def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
     """What splits a text at the file's added tokens (they stay as every second part), and their ids."""
@@ -59,7 +67,7 @@ def _split_encode(texts: list[str], path: str, encode: Callable) -> tuple[np.nda
 
 
 def tokenised_pieces(
-    df: DataFrame, tokenizer_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
     """Pieces of every text: doc_id, piece, start, length, ids (little-endian unsigned 32-bit, binary).
 
@@ -67,14 +75,15 @@ def tokenised_pieces(
     but the first hold ``capacity`` tokens. The tokenizer's added tokens, such as <|endoftext|>, keep
     their own ids where a text holds them. Pre-tokens are looked up once each; the library
     encodes those not seen before by the worker. Null texts count as empty: one piece with END_ID.
+    Repeated rows are cut one by one, other columns are ignored, an empty table gives an empty result.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, seen = _tokenizer(tokenizer_path), vocabulary(ranks_path)
+        library, seen = _tokenizer(tokenizer_path), _seen(tokenizer_path)
         miss = lambda tokens: [e.ids for e in library.encode_batch_fast(tokens, add_special_tokens=False)]
         for batch in rows:
             for at, held in X.batches(batch.column(1).to_pylist()):
-                ids, bounds = _split_encode(held, tokenizer_path, lambda x: seen.encode_batch(x, miss))
+                ids, bounds = _split_encode(held, tokenizer_path, lambda x: seen.encode(x, miss))
                 index, piece, start, length, out = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], END_ID).astype("<u4")
@@ -154,7 +163,8 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, per_parti
     ``part`` numbers the partition that made the sequence, ``bins`` and ``bound`` are its count and
     lower bound when it was packed, exchanged bins included. Pieces of ``capacity`` are sequences and
     partitions of their own from the start, with negative numbers.
-    Keys need not be unique: a row number tells repeated rows apart.
+    Keys need not be unique: a row number tells repeated rows apart. An empty table gives an empty
+    result. Only ``keys`` and ``length`` are read, so other columns cannot clash.
     """
     rows = cut(pieces.select(*keys, "length", F.monotonically_increasing_id().alias("row")))
     named = [*keys, "length", "sequence_id", "offset", "part", "bins", "bound"]
@@ -183,12 +193,11 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, per_parti
         return packed.select(*keys, "length", (part * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", part.alias("part"), "bins", "bound")
 
     first = (F.col("offset") == 0) & (F.col("length") > 0)  # one piece of each bin
-    waiting, waiting_bins, parts = None, None, None
+    waiting, waiting_bins, parts = None, None, 1 << 31
     n, r = open_.count(), 0
     while n:
         # Later rounds pack what is left in fewer, larger partitions, of a size that one task holds.
-        wanted = round(n / (per_partition << min(r, 4)))
-        parts = (1 if n <= 200 else max(4, wanted)) if parts is None else max(1, min(parts, wanted))
+        parts = min(parts, -(-n // (per_partition << min(r, 4))))
         dealt = open_.withColumn("part", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(parts)).cast("int"))
         packed = cut(dealt.groupBy("part").applyInPandas(bins, schema))
         total, left, n = packed.agg(F.count_if(first), F.count_if(first & ~F.col("closed")), F.count_if(~F.col("closed"))).first()

@@ -48,7 +48,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    pieces = packing.tokenised_pieces(docs, TOKENIZER, RANKS).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = packing.tokenised_pieces(docs, TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(pieces, ["doc_id", "piece", "start", "ids_crc32"])
 
 
