@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import cut
+from furlong.llm.common import cut, free_name, named
 
 PREFIX_CHARS = 128
 
@@ -30,11 +30,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ids lose against any other id; a group of null ids keeps one row with a null keep_id.
     Extra columns are ignored. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     rows = cut(
         df.select(
             F.monotonically_increasing_id().alias("row"),
-            F.col(id_col).alias("doc_id"),
+            named(id_col).alias("doc_id"),
             F.octet_length(text).alias("n_bytes"),
             F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"),
             F.unhex(F.sha2(text, 256)).alias("digest"),
@@ -59,11 +59,34 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that ``exact_dedup`` drops, all columns unchanged.
+    """``df`` with one row of each group of identical texts, the one with the largest id; all columns unchanged.
 
-    Ids must be unique for the rows to be told apart; of repeated rows with one id all stay
-    or go together. Rows with a null id stay.
+    Only rows that share their text's length have their prefix hashed, and only those that share both have their
+    whole text hashed; the lists of shared lengths and prefixes are what is joined, never texts with texts.
+
+    Null texts count as empty. Of repeated rows with one id and text one stays, any of those that differ in other
+    columns. Null ids lose against any other. Column names of ``df`` cannot clash. An empty table gives an empty result.
     """
-    dropped = exact_dedup(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    dropped = cut(dropped.distinct())
-    return df.join(dropped, F.col(id_col) == F.col("__gone"), "left_anti")
+    info = free_name(df, "refined")
+    text = F.coalesce(named(text_col), F.lit(""))
+    length, prefix = F.octet_length(text), F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
+    lengths = cut(df.select(length.alias("n_bytes")).groupBy("n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("n_bytes"))
+    alike = df.select(named(id_col).alias("id"), length.alias("n_bytes"), text.alias("text")).join(lengths, "n_bytes", "left_semi")
+    prefixes = alike.select("n_bytes", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("prefix")).groupBy("n_bytes", "prefix")
+    prefixes = cut(prefixes.agg(F.count("*").alias("n")).where("n > 1").select("n_bytes", "prefix"))
+    alike = alike.withColumn("prefix", F.xxhash64(F.substring("text", 1, PREFIX_CHARS))).join(prefixes, ["n_bytes", "prefix"], "left_semi")
+    groups = alike.select("id", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(
+        F.max("id").alias("keep_id"), F.count("*").alias("n")
+    )
+    groups = cut(groups.where("n > 1").select("digest", "keep_id"))
+    # Rows of a group are told from all others by their digest, taken again only where length and prefix are shared.
+    shared = prefixes.select(F.struct("n_bytes", "prefix").alias(info))
+    marked = df.join(shared, (length == shared[info]["n_bytes"]) & (prefix == shared[info]["prefix"]), "left")
+    digest = F.when(F.col(info).isNotNull(), F.unhex(F.sha2(text, 256)))
+    best = groups.select(F.struct("digest", "keep_id").alias(free_name(df, "best")))
+    best_col = F.col(best.columns[0])
+    marked = marked.join(best, digest == best_col["digest"], "left")
+    own = [named(c) for c in df.columns]
+    alone = marked.where(best_col.isNull()).select(*own)
+    kept = marked.where(best_col.isNotNull() & named(id_col).eqNullSafe(best_col["keep_id"]))
+    return alone.unionByName(kept.withColumn(info, best_col["digest"]).dropDuplicates([info]).select(*own))
