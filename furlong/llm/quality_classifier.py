@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import textcodes as X
+from furlong.llm.common import named
 
 BUCKET_BITS = 18
 DIM = 16
@@ -100,20 +101,18 @@ def fit(
 ) -> np.ndarray:
     """Train on at most ``max_rows`` labelled documents, taken by a hash of their ids.
 
-    Rows without an id, a label or a text are left out. Without labelled rows the margins are zero.
+    Rows without an id, a label or a text are left out. Without labelled rows, or with an
+    empty ``docs``, the margins are zero; repeated rows count each time. Column names cannot clash.
     """
     chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("__id", F.lit(3)), "__id")
+        labels.select(named(id_col).alias("labelled_id"), named(label_col).cast("int").alias("label"))
+        .where("label is not null and labelled_id is not null")
+        .orderBy(F.xxhash64("labelled_id", F.lit(3)), "labelled_id")
         .limit(max_rows)
     )
-    rows = (
-        docs.where(F.col(text_col).isNotNull())
-        .join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-        .select("__id", F.col(text_col).alias("text"), "label")
-    )
-    kind = dict(rows.dtypes)["__id"]
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled_id")).select("id", "text", "label")  # at most max_rows
+    kind = dict(rows.dtypes)["id"]
     got = rows.mapInArrow(_training_rows, f"doc_id {kind}, label int, features binary, shares binary").orderBy("doc_id")
     data = [(r.label, np.frombuffer(r.features, np.int32), np.frombuffer(r.shares, np.float32)) for r in got.toLocalIterator()]
     return train(data) if data else np.zeros(1 << BUCKET_BITS, dtype=np.float32)
@@ -139,5 +138,5 @@ def score(df: DataFrame, margins: np.ndarray, id_col: str = "doc_id", text_col:
                     [batch.column(0).slice(at, len(held)), pa.array(1 / (1 + np.exp(-np.clip(mean, -40, 40))))], ["doc_id", "score"]
                 )
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")

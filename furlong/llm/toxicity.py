@@ -11,14 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import textcodes as X
+from furlong.llm.common import cut, named
 
-#: Words that name the narrower categories among rows labelled toxic; a later link needs none of them.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting", "garbage", "vermin"),
-}
-#: The chain's order; the last category is the label itself and decides.
-CATEGORIES = (*SEEDS, "toxic")
+#: The chain's order: kinds of toxic text, which are clusters of the labelled toxic rows, then the label itself, which decides.
+CATEGORIES = ("toxic_kind_1", "toxic_kind_2", "toxic")
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 FOLDS = 5
@@ -39,56 +35,80 @@ def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
-def seed_hashes() -> dict[str, np.ndarray]:
-    return {k: np.array([_hashes([w])[0][0] for w in ws], dtype=np.uint64) for k, ws in SEEDS.items()}
-
-
 def _labelled_features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per feature hash and fold: in how many texts it stands, and in how many toxic ones."""
     for batch in rows:
-        labels = batch.column(1).to_numpy()
+        labels, folds = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for at, held in X.batches(batch.column(0).to_pylist()):
             h, owner = _hashes(held)
             pairs = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1) if len(h) else np.empty((2, 0), np.uint64)
-            y = labels[at + pairs[0].astype(np.int64)]
+            owner = at + pairs[0].astype(np.int64)
             u, which = np.unique(pairs[1], return_inverse=True)
+            cell = which * FOLDS + folds[owner]
+            n = np.bincount(cell, minlength=len(u) * FOLDS)
+            toxic = np.bincount(cell, weights=labels[owner], minlength=len(u) * FOLDS).astype(np.int64)
+            used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u.view(np.int64)), pa.array(np.bincount(which, weights=y, minlength=len(u)).astype(np.int64)),
-                 pa.array(np.bincount(which, minlength=len(u)).astype(np.int64))],
-                ["h", "toxic", "n"],
+                [pa.array(u.view(np.int64)[used // FOLDS]), pa.array((used % FOLDS).astype(np.int32)), pa.array(toxic[used]), pa.array(n[used])],
+                ["h", "fold", "toxic", "n"],
             )
 
 
-def _rows_of(hashes: np.ndarray, seeds: dict[str, np.ndarray]):
-    """Per text: its features among ``hashes`` (numbers), and which categories' seed words it holds."""
+def _rows_of(hashes: np.ndarray):
+    """Per text: its features among ``hashes`` (numbers)."""
 
-    def find(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    def find(texts: list[str]) -> list[np.ndarray]:
         h, owner = _hashes(texts)
         place = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
         hit = hashes[place] == h if len(hashes) else np.zeros(len(h), dtype=bool)
         pairs = np.unique(np.stack([owner[hit], place[hit]]), axis=1)
         cuts = np.searchsorted(pairs[0], np.arange(len(texts) + 1))
-        held = np.zeros((len(texts), len(seeds)), dtype=np.int32)
-        for k, s in enumerate(seeds.values()):
-            held[owner[np.isin(h, s)], k] = 1
-        return [pairs[1][a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], held
+        return [pairs[1][a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     return find
 
 
-def _train_rows(hashes: np.ndarray, seeds: dict[str, np.ndarray]):
+def _train_rows(hashes: np.ndarray):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _rows_of(hashes, seeds)
+        find = _rows_of(hashes)
         for batch in rows:
             for at, held in X.batches(batch.column(0).to_pylist()):
-                index, seeded = find(held)
+                n = len(held)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(at, len(held)), pa.array(list(seeded), pa.list_(pa.int32())), pa.array(index, pa.list_(pa.int32()))],
-                    ["label", "seeded", "features"],
+                    [batch.column(1).slice(at, n), batch.column(2).slice(at, n), pa.array(find(held), pa.list_(pa.int32()))], ["label", "fold", "features"]
                 )
 
     return run
 
 
+def toxic_kinds(row: np.ndarray, col: np.ndarray, label: np.ndarray, n_features: int, n_kinds: int = 2, rounds: int = 20) -> np.ndarray:
+    """(rows, kinds) of 0 and 1: which of ``n_kinds`` clusters each toxic row lies in, by cosine k-means on its features.
+
+    The first centre is the sum of all, each next one the row least like the centres so far; rows
+    that are not toxic lie in none.
+    """
+    out, toxic = np.zeros((len(label), n_kinds)), np.flatnonzero(label == 1)
+    if len(toxic) < n_kinds:
+        return out
+    number = np.full(len(label), -1)
+    number[toxic] = np.arange(len(toxic))
+    inside = number[row] >= 0
+    x = np.zeros((len(toxic), n_features), dtype=np.float32)
+    x[number[row[inside]], col[inside]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-9)
+    likeness = x @ unit(x.sum(axis=0))
+    centres = []
+    for _ in range(n_kinds):
+        centres.append(x[int(likeness.argmin())])
+        likeness = np.max([x @ c for c in centres], axis=0)
+    for _ in range(rounds):
+        kind = np.argmax(x @ np.stack(centres).T, axis=1)
+        centres = [unit(x[kind == k].sum(axis=0)) for k in range(n_kinds)]
+    out[toxic, kind] = 1
+    return out
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -138,26 +158,29 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(_sigmoid(np.array((_logit(p[order[i]]) + _logit(np.array(low))) / 2)))
 
 
-def fit_chain(row: np.ndarray, col: np.ndarray, targets: np.ndarray, n_features: int, seed: int = 3) -> tuple[list[Link], float]:
+def fit_chain(row: np.ndarray, col: np.ndarray, targets: np.ndarray, fold: np.ndarray, allowed: np.ndarray) -> tuple[list[Link], float]:
     """One link for each column of ``targets``, in order, and the last one's threshold.
 
     What a link is told of earlier categories is out-of-fold: each row's probability comes from
-    links that were fitted without that row, as new texts will be.
+    links that were fitted without that row, as new texts will be, on the features that were chosen
+    without its fold. allowed: (FOLDS + 1, features), the features chosen without each fold, and from all.
     """
-    n = len(targets)
-    fold = np.random.default_rng(seed).integers(0, FOLDS, n)
+    n, n_features = len(targets), allowed.shape[1]
     earlier = np.zeros((n, 0))
-    chain = []
+    chain, out = [], np.zeros(n)
     for j in range(targets.shape[1]):
         y = targets[:, j].astype(float)
-        chain.append(fit_link(row, col, earlier, y, n_features))
+        every = allowed[FOLDS][col]
+        chain.append(fit_link(row[every], col[every], earlier, y, n_features))
         out = np.zeros(n)
         for f in range(FOLDS):
-            inside = fold != f
+            inside, chosen = fold != f, allowed[f][col]
+            if inside.all():
+                continue
             number = np.cumsum(inside) - 1
-            use = inside[row]
+            use = inside[row] & chosen
             link = fit_link(number[row[use]], col[use], earlier[inside], y[inside], n_features)
-            out[~inside] = link.predict(row, col, n, earlier)[~inside]
+            out[~inside] = link.predict(row[chosen], col[chosen], n, earlier)[~inside]
         earlier = np.column_stack([earlier, _logit(out)])
     return chain, best_threshold(out, targets[:, -1].astype(float))
 
@@ -173,7 +196,7 @@ class ToxicityModel:
         n = len(texts)
         if not self.chain:
             return [np.zeros(n)] * len(CATEGORIES)
-        index, _ = _rows_of(self.hashes, {})(texts)
+        index = _rows_of(self.hashes)(texts)
         row = np.repeat(np.arange(n), [len(i) for i in index])
         col = np.concatenate(index)
         earlier, out = np.zeros((n, 0)), []
@@ -190,34 +213,48 @@ def fit(
     """Fit the chain on at most ``max_rows`` labelled documents, taken by a hash of their ids.
 
     The features are the ``max_features`` words and word beginnings that speak most for a toxic
-    label, counted over the sample. Rows without an id, label or text are left out; without
-    any labelled rows nothing is toxic.
+    label and stand in ``min_toxic`` toxic texts at least, counted over the sample; for each fold they are
+    also chosen without it. Rows without an id, label or text are left out; repeated rows count each time. Without
+    any labelled rows, with an empty ``docs``, or without a toxic one nothing is toxic. Column names cannot clash.
     """
     chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("__id", F.lit(7)), "__id")
+        labels.select(named(id_col).alias("labelled_id"), named(label_col).cast("int").alias("label"))
+        .where("label is not null and labelled_id is not null")
+        .orderBy(F.xxhash64("labelled_id", F.lit(7)), "labelled_id")
         .limit(max_rows)
     )
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    rows = rows.select(F.col(text_col).alias("text"), "label")
-    total = chosen.agg(F.sum("label").alias("t"), F.count("*").alias("n")).first()
-    if not total["n"] or not total["t"]:
-        return ToxicityModel(np.empty(0, np.uint64), [])
-    counts = rows.mapInArrow(_labelled_features, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    share = F.lit(total["t"] / total["n"])
-    lift = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    top = counts.where((F.col("toxic") >= min_toxic) & (F.col("toxic") > 2 * share * F.col("n"))).orderBy(lift.desc(), "h").limit(max_features)
-    hashes = np.sort(np.array([r.h for r in top.select("h").collect()], dtype=np.int64).view(np.uint64))
-    got = rows.mapInArrow(_train_rows(hashes, seed_hashes()), "label int, seeded array<int>, features array<int>").toArrow()
-    label = got["label"].to_numpy()
-    seeded = np.array(got["seeded"].to_pylist(), dtype=np.int32).reshape(len(label), len(SEEDS))
-    index = got["features"].to_pylist()
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).where("text is not null")
+    fold = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled_id")).select("text", "label", fold)  # at most max_rows
+    per_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect()}
+    nothing = ToxicityModel(np.empty(0, np.uint64), [])
+    if not sum(r["t"] for r in per_fold.values()):
+        return nothing
+    counts = rows.mapInArrow(_labelled_features, "h long, fold int, toxic long, n long").groupBy("h")
+    outside = lambda col, f: F.sum(F.when(F.col("fold") != f, F.col(col)).otherwise(0)).alias(f"{col}{f}")
+    counts = cut(counts.agg(*[outside(c, f) for f in range(FOLDS + 1) for c in ("toxic", "n")]).where(f"toxic{FOLDS} >= {int(min_toxic)}"))
+    picked = []
+    for f in range(FOLDS + 1):
+        t, n = (sum(r[c] for k, r in per_fold.items() if k != f) for c in ("t", "n"))
+        share, toxic, seen = t / max(n, 1), F.col(f"toxic{f}"), F.col(f"n{f}")
+        lift = (toxic - seen * share) / F.sqrt(seen * share * (1 - share) + 1)
+        top = counts.where((toxic >= min_toxic) & (toxic > 2 * share * seen)).orderBy(lift.desc(), "h").limit(max_features)
+        picked.append(np.array([r.h for r in top.select("h").collect()], dtype=np.int64).view(np.uint64))
+    hashes = np.unique(np.concatenate(picked))
+    if not len(picked[FOLDS]):
+        return nothing
+    allowed = np.stack([np.isin(hashes, p) for p in picked])
+    got = rows.mapInArrow(_train_rows(hashes), "label int, fold int, features array<int>").toArrow()
+    label, folds, index = got["label"].to_numpy(), got["fold"].to_numpy(), got["features"].to_pylist()
+    # In an order that the rows' contents fix, not the partitions they came from.
+    order = sorted(range(len(label)), key=lambda i: (folds[i], label[i], index[i]))
+    label, folds, index = label[order], folds[order], [index[i] for i in order]
     row = np.repeat(np.arange(len(label)), [len(i) for i in index])
     col = np.array([x for i in index for x in i], dtype=np.int64)
-    order = np.lexsort((col, row))
-    targets = np.column_stack([seeded * label[:, None], label])
-    return ToxicityModel(hashes, *fit_chain(row[order], col[order], targets, len(hashes)))
+    targets = np.column_stack([toxic_kinds(row, col, label, len(hashes), len(CATEGORIES) - 1), label])
+    chain, threshold = fit_chain(row, col, targets, folds, allowed)
+    used = allowed[FOLDS]
+    return ToxicityModel(hashes[used], [Link(x.features[used], x.earlier, x.bias) for x in chain], threshold)
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +276,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
                     ["doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic", "kept"],
                 )
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     fields = "".join(f", p_{c} double" for c in CATEGORIES)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}{fields}, toxic boolean, kept boolean")
 
