@@ -6,10 +6,10 @@ interval-joined, and weak candidates are reported only next to complementary par
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import cut
+from furlong.llm.common import Scratch, cut, free_name, named
 
 #: The base kinds: name, pattern, group that is measured, least length.
 BASE = (
@@ -30,93 +30,77 @@ PARTS = {"assign": "secret", "hex": "secret", "access": "access"} | {k: part for
 ORDER = ["assign", "access", "hex", "user", "key40", "endpoint"]
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of a kind's matches, as structs of kind, start and end in code points.
+def _lengths(text: Column, pattern: str, group: int) -> Column:
+    """Of each match the length of the gap before it, its own, and its group's, in code points; empty without a match.
 
-    The gaps between matches come from splitting at the pattern, so a match starts after all
-    gaps and matches before it.
+    The gaps come from splitting at the pattern, so a match starts after all gaps and matches before it.
     """
-    none = F.array().cast("array<struct<start:bigint,end:bigint,good:boolean>>")
-    gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), measured.alias("measured"))
-    state = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.struct(
-            start.alias("start"), end.alias("end"), (F.coalesce(F.length(x["measured"]), F.lit(-1)) >= least).alias("good")
-        )
-        return F.struct(end.alias("at"), F.array_append(s["found"], span).alias("found"))
-
-    spans = F.transform(
-        F.filter(F.aggregate(parts, state, step)["found"], lambda x: x["good"]),
-        lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), measured.alias("measured"))
+    found = F.transform(
+        F.filter(parts, lambda x: x["whole"].isNotNull()),
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("n"), F.length(x["measured"]).alias("measured")),
     )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))
-
-
-def _sorted(spans: Column) -> Column:
-    rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in ORDER]), x["kind"])
-    return F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,n:int,measured:int>>"))
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """One row per input row: ``row`` (its number), doc_id, ``base`` and ``spans``, arrays of start, rank, end, kind.
 
     ``base`` holds all matches of the base kinds. ``spans`` adds each weak candidate that has a
-    complementary part (another of access, secret, endpoint; base or weak) ending or
+    complementary part (another of access, secret, endpoint; base or weak; one of the two a secret) ending or
     starting within ``scope`` code points. Candidates of one kind never overlap, so a
     scope holds a bounded number and the interval join, on text and scope number, stays
-    in proportion to the text.
+    in proportion to the text. Places are running sums over a text's matches, so work is linear in them.
 
     Null texts count as empty; texts without a match give empty arrays. Repeated rows are
     scanned one by one. Extra columns are ignored. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    nothing = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    base = F.concat(*[_spans(F.col("text"), *kind) for kind in BASE])
-    weak = F.concat(
-        *[
-            F.when(F.col("text").rlike(HINTS[k]), _spans(F.col("text"), k, p, 0, 1)).otherwise(nothing)
-            if k in HINTS
-            else _spans(F.col("text"), k, p, 0, 1)
-            for k, p, _ in WEAK
-        ]
-    )
-    found = cut(
-        df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text")).select(
-            "row", "doc_id", base.alias("base"), weak.alias("weak")
-        )
+    scratch = Scratch(df.sparkSession)
+    text = F.col("text")
+    none = F.array().cast("array<struct<gap:int,n:int,measured:int>>")
+    kinds = [(*kind, True) for kind in BASE] + [(k, p, 0, 1, False) for k, p, _ in WEAK]
+    scanned = [
+        F.when(text.rlike(HINTS[k]), _lengths(text, p, group)).otherwise(none) if k in HINTS else _lengths(text, p, group)
+        for k, p, group, _, _ in kinds
+    ]
+    rows = df.select(F.monotonically_increasing_id().alias("row"), named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    rows = scratch.write(rows.select("row", "doc_id", F.array(*scanned).alias("kinds")))
+    matched = rows.where(F.exists("kinds", lambda x: F.size(x) > 0)).select("row", F.posexplode("kinds").alias("k", "found"))
+    matched = matched.select("row", "k", F.posexplode("found").alias("i", "m"))
+    before = F.sum(F.col("m.gap").cast("long") + F.col("m.n")).over(Window.partitionBy("row", "k").orderBy("i"))
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("k"))
+    placed = matched.withColumn("end", before).where(F.col("m.measured") >= pick([k[3] for k in kinds]))
+    x = F.struct(
+        (F.col("end") - F.col("m.n")).alias("start"), (pick([ORDER.index(k[0]) + 1 for k in kinds])).alias("rank"), "end", pick([k[0] for k in kinds]).alias("kind")
     )
-    part = F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv])
-    every = found.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("x"))
-    placed = every.select("row", "x", part[F.col("x.kind")].alias("part"))
+    placed = scratch.write(placed.select("row", x.alias("x"), pick([PARTS[k[0]] for k in kinds]).alias("part"), pick([k[4] for k in kinds]).alias("is_base")))
     # A complement touches a scope number that a span touches, or a neighbouring one.
     reach = placed.select(
         "row", F.col("x").alias("y"), F.col("part").alias("other"),
         F.explode(F.sequence(F.floor(F.col("x.start") / scope) - 1, F.floor(F.col("x.end") / scope) + 1)).alias("scope_no"),
     )
-    weak_only = placed.where(F.col("x.kind").isin(*[k for k, _, _ in WEAK])).select(
+    weak_only = placed.where("not is_base").select(
         "row", "x", "part", F.explode(F.sequence(F.floor(F.col("x.start") / scope), F.floor(F.col("x.end") / scope))).alias("scope_no")
     )
     linked = (
         weak_only.join(reach, ["row", "scope_no"])
         .where(
             (F.col("part") != F.col("other"))
+            & F.lit("secret").isin(F.col("part"), F.col("other"))
             & (F.col("y.start") - F.col("x.end") <= scope)
             & (F.col("x.start") - F.col("y.end") <= scope)
         )
-        .select("row", "x")
+        .select("row", "x", F.lit(False).alias("is_base"))
         .distinct()
-        .groupBy("row")
-        .agg(F.collect_list("x").alias("linked"))
     )
-    return found.join(cut(linked), "row", "left").select(
-        "row", "doc_id", _sorted(F.col("base")).alias("base"),
-        _sorted(F.concat("base", F.coalesce("linked", nothing))).alias("spans"),
+    kind = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+    spans = placed.where("is_base").select("row", "x", "is_base").union(linked).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("is_base"), F.col("x")))).alias("base"), F.sort_array(F.collect_list("x")).alias("spans")
+    )
+    return rows.select("row", "doc_id").join(scratch.write(spans), "row", "left").select(
+        "row", "doc_id", *[F.coalesce(c, F.array()).cast(kind).alias(c) for c in ("base", "spans")]
     )
 
 
@@ -129,12 +113,16 @@ def span_text(spans: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every reported span replaced by ``mask``; all other text and columns unchanged.
 
-    Overlapping spans are replaced as one. Null texts stay null. Ids must be unique and not
-    null for the spans to find their row; other rows stay unchanged.
+    Overlapping spans are replaced as one. Null texts stay null. Rows find their spans by id (null is an id too) and a
+    hash of the text, so repeated rows and ids with several texts are each masked rightly. Column names of ``df``
+    cannot clash. An empty table gives an empty result.
     """
-    spans = scan_secrets(df, id_col, text_col, scope).where(F.size("spans") > 0 ).where("doc_id is not null")
-    spans = cut(spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")))
-    text = F.col(text_col)
+    info = free_name(df, "secrets")
+    text, key = named(text_col), F.struct(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("h"))
+    keyed = df.select(key.alias("key"), text.alias("text"))
+    spans = scan_secrets(keyed, "key", "text", scope).where(F.size("spans") > 0)
+    spans = cut(spans.dropDuplicates(["doc_id"]).select(F.struct("doc_id", "spans").alias(info)))
+    held = F.col(info)
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -143,9 +131,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         ).otherwise("")
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
 
-    done = F.aggregate("__spans", state, step)
+    done = F.aggregate(held["spans"], state, step)
     clean = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    joined = df.join(spans, F.col(id_col) == F.col("__id"), "left")
-    return joined.select(
-        *[F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    )
+    joined = df.join(spans, named(id_col).eqNullSafe(held["doc_id"]["id"]) & (F.xxhash64(text) == held["doc_id"]["h"]), "left")
+    return joined.select(*[F.when(held.isNull(), text).otherwise(clean).alias(c) if c == text_col else named(c) for c in df.columns])
