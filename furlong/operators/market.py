@@ -15,6 +15,11 @@ def share_of_group(value: Column, group: str) -> Column:
     return F.try_divide(value, F.sum(value).over(_w(group)))
 
 
+def from_odds(odds: Column, group: str) -> Column:
+    """The market's probability: 1 / odds as a share of the group; odds that are not above 0 count for nothing."""
+    return share_of_group(F.when(~F.isnan(odds) & (odds > 0), 1.0 / odds), group)
+
+
 def power_share(p: Column, a: float, group: str) -> Column:
     return share_of_group(F.pow(p, F.lit(float(a))), group)
 
@@ -34,7 +39,7 @@ def clean_groups(df: DataFrame, group: str, winner: Column, value: Column) -> Da
     """One row per group: one_winner, all_usable. NaN and null values are unusable."""
     usable = F.coalesce(~F.isnan(value) & (value > 0), F.lit(False))
     return df.groupBy(group).agg(
-        (F.sum(winner.cast("int")) == 1).alias("one_winner"), F.min(usable).alias("all_usable")
+        F.coalesce(F.sum(winner.cast("int")) == 1, F.lit(False)).alias("one_winner"), F.min(usable).alias("all_usable")
     )
 
 

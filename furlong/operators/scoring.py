@@ -54,31 +54,35 @@ def calibration(df: DataFrame, p: str = "p", y: str = "y", n_bins: int = 10, str
 
 
 def murphy(bins: DataFrame) -> DataFrame:
-    """Reliability, resolution and uncertainty from calibration bins."""
-    total = bins.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("y_rate")) / F.sum("n")).alias("base"))
-    x = bins.crossJoin(F.broadcast(total))  # one row
-    return x.agg(
-        (F.sum(F.col("n") * F.pow(F.col("p_mean") - F.col("y_rate"), F.lit(2.0))) / F.max("total")).alias("reliability"),
-        (F.sum(F.col("n") * F.pow(F.col("y_rate") - F.col("base"), F.lit(2.0))) / F.max("total")).alias("resolution"),
-        (F.max("base") * (1 - F.max("base"))).alias("uncertainty"),
+    """Reliability, resolution and uncertainty from calibration bins, in one pass."""
+    n, rate = F.col("n"), F.col("y_rate")
+    got = bins.agg(
+        F.sum("n").alias("n"), (F.sum(n * rate) / F.sum(n)).alias("base"), F.sum(n * rate * rate).alias("squares"),
+        F.sum(n * F.pow(F.col("p_mean") - rate, F.lit(2.0))).alias("off"),
+    )
+    return got.select(
+        (F.col("off") / F.col("n")).alias("reliability"),
+        F.greatest(F.col("squares") / F.col("n") - F.col("base") * F.col("base"), F.lit(0.0)).alias("resolution"),
+        (F.col("base") * (1 - F.col("base"))).alias("uncertainty"),
     )
 
 
 def paired_differences(model: DataFrame, market: DataFrame, group: str = "race_id") -> DataFrame:
     """market log loss - model log loss of races that both have."""
-    m = race_losses(market, group).select(group, F.col("log_loss").alias("market"))
-    return race_losses(model, group).join(m, group).select(group, "market", F.col("log_loss").alias("model"), (F.col("market") - F.col("log_loss")).alias("diff"))
+    m = race_losses(market, group).select(group, F.col("log_loss").alias("market"), F.col("brier").alias("market_brier"))
+    both = race_losses(model, group).withColumnRenamed("brier", "model_brier").join(m, group)
+    return both.select(group, "market", F.col("log_loss").alias("model"), (F.col("market") - F.col("log_loss")).alias("diff"), "model_brier", "market_brier")
 
 
 def clustered_test(diffs: DataFrame, cluster: str, value: str = "diff") -> DataFrame:
     """n, mean, day-clustered standard error and z of a mean."""
-    per = diffs.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    total = per.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
-    x = per.select("s", F.col("n").alias("k")).crossJoin(F.broadcast(total))  # one row
-    out = x.agg(
-        F.max("n").alias("n"), F.max("mean").alias("mean"),
-        (F.sqrt(F.sum(F.pow(F.col("s") - F.col("k") * F.col("mean"), F.lit(2.0)))) / F.max("n")).alias("se"),
-    )
+    per = diffs.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
+    s, k, m = F.col("s"), F.col("k"), F.col("mean")
+    sums = per.agg(F.sum("k").alias("n"), (F.sum("s") / F.sum("k")).alias("mean"), F.sum(s * s).alias("ss"), F.sum(s * k).alias("sk"), F.sum(k * k).alias("kk"))
+    spread = F.greatest(F.col("ss") - 2 * m * F.col("sk") + m * m * F.col("kk"), F.lit(0.0))
+    # What rounding leaves of equal sums is no spread.
+    spread = F.when(spread > 1e-12 * F.col("ss"), spread).otherwise(0.0)
+    out = sums.select("n", "mean", (F.sqrt(spread) / F.col("n")).alias("se"))
     z = F.when(F.col("se") > 0, F.col("mean") / F.col("se")).when(F.col("mean") == 0, 0.0).otherwise(F.signum("mean") * F.lit(float("inf")))
     return out.withColumn("z", z)
 
@@ -105,6 +109,25 @@ def day_bootstrap(diffs: DataFrame, cluster: str, value: str = "diff", n_boot: i
     return float(low), float(high)
 
 
+def race_bootstrap(diffs: DataFrame, group: str = "race_id", value: str = "diff", n_boot: int = 2000, seed: int = 0) -> tuple[float, float]:
+    """2.5 and 97.5 % of the mean when races are drawn with replacement.
+
+    Each race counts in a resample as often as a Poisson draw of mean 1 says, seeded by the race and the
+    resample, so that every task draws for its own races and only ``n_boot`` pairs of sums reach the driver.
+    """
+    u = (F.pmod(F.xxhash64(group, "b", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    # The Poisson distribution up to 9; beyond lies less than 2e-7.
+    edges, term = [], 2.718281828459045**-1
+    for k in range(10):
+        edges.append((edges[-1] if edges else 0.0) + term)
+        term /= k + 1
+    times = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
+    drawn = diffs.select(group, value).where(F.col(value).isNotNull()).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    means = drawn.withColumn("times", times).groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("mean"))
+    low, high = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()["q"]
+    return float(low), float(high)
+
+
 def compare(model: DataFrame, market: DataFrame, dates: DataFrame, n_boot: int = 2000, seed: int = 0) -> dict:
     """Losses on common races, skill, bootstrap interval, clustered z and p, detectable effect, verdict.
 
@@ -112,12 +135,14 @@ def compare(model: DataFrame, market: DataFrame, dates: DataFrame, n_boot: int =
     """
     diffs = paired_differences(model, market).join(dates, "race_id").cache()
     t = clustered_test(diffs, "date").first()
-    means = diffs.agg(F.avg("model").alias("model"), F.avg("market").alias("market"), F.count("*").alias("n")).first()
+    names = ("model", "market", "model_brier", "market_brier")
+    means = diffs.agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("n")).first()
     low, high = day_bootstrap(diffs, "date", n_boot=n_boot, seed=seed)
     p = two_sided_p(t["z"])
     diffs.unpersist()
     return {
         "n_races": means["n"], "model_log_loss": means["model"], "market_log_loss": means["market"],
+        "model_brier": means["model_brier"], "market_brier": means["market_brier"],
         "skill": 1 - means["model"] / means["market"], "mean_diff": t["mean"], "ci_low": low, "ci_high": high, "z": t["z"], "p": p,
         "mde": detectable_factor() * t["se"], "significant": (low > 0 or high < 0) and p < 0.05,
     }

@@ -18,18 +18,26 @@ def fixed_part(date: Column, train_end: dt.date, val_end: dt.date, purge_days: i
 
 
 def walk_forward(
-    races: DataFrame, first_test: dt.date, span_days: int, n_folds: int, date: str = "date", step_days: int | None = None, purge_days: int = 0
+    races: DataFrame, first_test: dt.date, span_days: int, n_folds: int | None = None, date: str = "date", step_days: int | None = None,
+    purge_days: int = 0, embargo_days: int = 0,
 ) -> DataFrame:
-    """Rows (fold, part) for each race in train or test of a fold; folds without both parts are left out."""
-    step = step_days or span_days
-    spark = races.sparkSession
-    starts = [first_test + dt.timedelta(days=i * step) for i in range(n_folds)]
-    folds = spark.createDataFrame(
-        [(i, t - dt.timedelta(days=purge_days), t, t + dt.timedelta(days=span_days)) for i, t in enumerate(starts)],
-        "fold int, train_before date, test_from date, test_to date",
-    )
-    d = F.col(date)
-    part = F.when(d < F.col("train_before"), "train").when((d >= F.col("test_from")) & (d < F.col("test_to")), "test")
-    dealt = races.crossJoin(F.broadcast(folds)).withColumn("part", part).where("part is not null")  # n_folds rows
-    full = dealt.groupBy("fold").agg(F.countDistinct("part").alias("k")).where("k = 2").select("fold")
-    return dealt.join(F.broadcast(full), "fold", "left_semi").drop("train_before", "test_from", "test_to")
+    """Rows (fold, part) for each race in train or test of a fold.
+
+    A fold tests ``span_days``, the next begins ``step_days`` (or as many) later; it trains on all days more than
+    ``purge_days`` before its test, without ``embargo_days`` after it. Folds without a test race are left out and do not
+    count; ``n_folds`` None goes on to the last date. Which folds there are comes from counts by day; a race
+    then meets only the folds it belongs to.
+    """
+    spark, d = races.sparkSession, F.col(date)
+    days = sorted(r[0] for r in races.where(d.isNotNull()).select(d).distinct().collect())  # one a day
+    folds, start = [], first_test
+    while days and start <= days[-1] and (n_folds is None or len(folds) < n_folds):
+        end = start + dt.timedelta(days=span_days)
+        if any(start <= x < end for x in days):
+            folds.append((len(folds), start - dt.timedelta(days=purge_days), start, end, end + dt.timedelta(days=embargo_days)))
+        start += dt.timedelta(days=step_days or span_days)
+    table = F.broadcast(spark.createDataFrame(folds, "fold int, train_before date, test_from date, test_to date, rest_to date"))  # one a fold
+    train = (d < F.col("train_before")) & ~((d >= F.col("test_to")) & (d < F.col("rest_to")))
+    part = F.when(train, "train").otherwise("test")
+    inside = train | ((d >= F.col("test_from")) & (d < F.col("test_to")))
+    return races.join(table, inside).withColumn("part", part).drop("train_before", "test_from", "test_to", "rest_to")

@@ -155,7 +155,7 @@ def fixed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    return splits.walk_forward(o, dt.date(1999, 1, 1), 91, 4, purge_days=3).groupBy("fold", "part").agg(F.count("*").alias("n"))
+    return splits.walk_forward(o, dt.date(1999, 1, 1), 91, purge_days=3).groupBy("fold", "part").agg(F.count("*").alias("n"))
 
 
 def top_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "global_prior": _RACES + f"select race_id, round(coalesce(sum(wins) over w / sum(n) over w, 0.1), 6) prior from races window w as ({_BEFORE})",
         "par_fallback": _RACES + f"select race_id, round(coalesce(case when sum(n) over m >= 30 then sum(total) over m / sum(n) over m end, sum(total) over w / sum(n) over w), 6) par from races window w as ({_BEFORE}), m as (partition by method {_BEFORE})",
         "fixed_split": "select o_orderkey, case when cast(o_orderdate as date) <= date '1998-12-26' then 'train' when cast(o_orderdate as date) > date '1998-12-31' and cast(o_orderdate as date) <= date '1999-12-31' then 'val' when cast(o_orderdate as date) > date '1999-12-31' then 'test' end part from orders",
-        "walk_forward_folds": ", f as (select i, date '1999-01-01' + cast(91 * i as int) t from range(4) r(i)), d as (select cast(i as int) fold, case when cast(o_orderdate as date) < t - 3 then 'train' when cast(o_orderdate as date) >= t and cast(o_orderdate as date) < t + 91 then 'test' end part from orders, f) select fold, part, count(*) n from d where part is not null group by 1, 2",
+        "walk_forward_folds": ", f as (select i, date '1999-01-01' + cast(91 * i as int) t from range(200) r(i) where date '1999-01-01' + cast(91 * i as int) <= (select max(cast(o_orderdate as date)) from orders)), d as (select cast(i as int) fold, case when cast(o_orderdate as date) < t - 3 then 'train' when cast(o_orderdate as date) >= t and cast(o_orderdate as date) < t + 91 then 'test' end part from orders, f) select fold, part, count(*) n from d where part is not null group by 1, 2",
         "share_market": ", g as (select l_orderkey race_id, l_returnflag f, max(l_quantity) t from lineitem group by all), c as (select race_id, f from (select *, row_number() over (partition by race_id order by t desc, f) k from g) where k = 1), h as (select r.race_id, r.price, r.y, s.l_quantity share from runners r left join (select l_orderkey, l_extendedprice, l_quantity from lineitem join c on race_id = l_orderkey and f = l_returnflag) s on s.l_orderkey = r.race_id and s.l_extendedprice = r.price) select race_id, price, round(share / sum(share) over (partition by race_id), 6) p from h qualify sum(y) over (partition by race_id) = 1 and count(*) filter (share > 0) over (partition by race_id) = count(*) over (partition by race_id)",
         "day_variant": _RACES + f", d as (select *, total - 25.0 * n dev, pow(2.0, day / 30) w from races) select race_id, round(coalesce(case when sum(n) over t >= 5 then sum(dev) over t / sum(n) over t end, sum(w * dev / n) over k / sum(w) over k, 0), 6) variant from d window t as (partition by method, day {_BEFORE}), k as (partition by method {_BEFORE})",
         "top_pool": "select race_id, price, qty from (select *, row_number() over (partition by race_id order by qty desc nulls last, price) r from runners) where r = 1",

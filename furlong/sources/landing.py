@@ -76,15 +76,16 @@ def ingest(
     log_kind = "day date, n_races long, n_games long, n_fail long, done boolean"
     log = stored(spark, f"{store}/log", log_kind)
     open_days = days(spark, first, last).join(log.where("done").select("day"), "day", "left_anti")
-    files = documents(spark, f"{landing}/calendar").withColumn("day", F.to_date("key"))
+    files = documents(spark, f"{landing}/calendar").withColumn("day", F.col("key").try_cast("date"))
     found = open_days.join(files, "day", "left").cache()
     calendars = found.where("doc is not null").select("day", "doc")
     counts = found.select("day", F.lit(None).cast("string").alias("kind"), (F.col("json").isNotNull() & F.col("doc").isNull()).alias("failed"))
     kinds = [("race", wanted_races(calendars, countries))] + ([] if skip_games else [("game", wanted_games(calendars))])
-    new = {}
+    new, cached = {}, [found]
     for kind, want in kinds:
         have = stored(spark, f"{store}/{kind}", "key string, day date, json string").select("key").distinct()
         missing = want.join(have, "key", "left_anti").join(documents(spark, f"{landing}/{kind}"), "key").cache()
+        cached.append(missing)
         taken = missing.where("doc is not null")
         if kind == "game":
             taken = taken.where(F.try_variant_get("doc", "$.status", "string") == "results")
@@ -102,4 +103,6 @@ def ingest(
         df.select("key", "day", "json").write.mode("append").parquet(f"{store}/{kind}")
     out = spark.createDataFrame(rows, log_kind)
     out.write.mode("append").parquet(f"{store}/log")  # last, so that a run that broke off is taken up again
+    for held in cached:
+        held.unpersist()
     return out
