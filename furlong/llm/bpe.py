@@ -199,7 +199,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in rows:
-            for at, held in X.batches(batch.column(1).to_pylist()):
+            for at, held in X.batches(batch.column(1)):
                 ids, bounds = v.encode_batch(held)
                 ids = ids.astype("<u4")
                 out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

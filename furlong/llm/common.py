@@ -41,6 +41,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers at most ``rows`` at a time, in this session from now on.
+
+    Spark's 10,000 are tens of megabytes of text in the executor and again in each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(rows if now <= 0 else min(now, rows)))
+
+
 class Scratch:
     """Tables that one job writes to the shared folder and reads again.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from furlong.llm.common import cut, free_name, named
 
 PREFIX_CHARS = 128
+#: Up to so many lengths (16 MB) their list is broadcast; beyond, Spark joins by shuffle.
+MAX_LENGTHS = 1 << 20
 
 
 def _survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,32 +63,34 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of identical texts, the one with the largest id; all columns unchanged.
 
-    Only rows that share their text's length have their prefix hashed, and only those that share both have their
-    whole text hashed; the lists of shared lengths and prefixes are what is joined, never texts with texts.
+    Only rows that share their text's length are looked at again, of those only rows that share a hash of
+    their first ``PREFIX_CHARS`` characters too are grouped by the hash of the whole text. All three passes move
+    lengths, hashes and ids; texts only meet the list of rows that go.
 
     Null texts count as empty. Of repeated rows with one id and text one stays, any of those that differ in other
     columns. Null ids lose against any other. Column names of ``df`` cannot clash. An empty table gives an empty result.
     """
-    info = free_name(df, "refined")
     text = F.coalesce(named(text_col), F.lit(""))
-    length, prefix = F.octet_length(text), F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
-    lengths = cut(df.select(length.alias("n_bytes")).groupBy("n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("n_bytes"))
-    alike = df.select(named(id_col).alias("id"), length.alias("n_bytes"), text.alias("text")).join(lengths, "n_bytes", "left_semi")
-    prefixes = alike.select("n_bytes", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("prefix")).groupBy("n_bytes", "prefix")
-    prefixes = cut(prefixes.agg(F.count("*").alias("n")).where("n > 1").select("n_bytes", "prefix"))
-    alike = alike.withColumn("prefix", F.xxhash64(F.substring("text", 1, PREFIX_CHARS))).join(prefixes, ["n_bytes", "prefix"], "left_semi")
-    groups = alike.select("id", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("n")
-    )
-    groups = cut(groups.where("n > 1").select("digest", "keep_id"))
-    # Rows of a group are told from all others by their digest, taken again only where length and prefix are shared.
-    shared = prefixes.select(F.struct("n_bytes", "prefix").alias(info))
-    marked = df.join(shared, (length == shared[info]["n_bytes"]) & (prefix == shared[info]["prefix"]), "left")
-    digest = F.when(F.col(info).isNotNull(), F.unhex(F.sha2(text, 256)))
-    best = groups.select(F.struct("digest", "keep_id").alias(free_name(df, "best")))
-    best_col = F.col(best.columns[0])
-    marked = marked.join(best, digest == best_col["digest"], "left")
+    lengths = df.select(F.octet_length(text).alias("n_bytes")).groupBy("n_bytes").agg(F.count("*").alias("n"))
+    lengths = cut(lengths.where("n > 1").select("n_bytes"))
+    alike = df.select(named(id_col).alias("id"), F.octet_length(text).alias("n_bytes"), text.alias("text"))
+    alike = alike.join(F.broadcast(lengths), "n_bytes", "left_semi") if lengths.count() <= MAX_LENGTHS else alike.join(lengths, "n_bytes", "left_semi")
+    alike = alike.withColumn("prefix", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)))
+    prefixes = alike.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("n_bytes", "prefix")
+    prefixes = cut(prefixes)
+    hashed = alike.select("id", "n_bytes", "prefix", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    # Equal rows become one with their number before anything is shuffled.
+    rows = cut(hashed.join(prefixes, ["n_bytes", "prefix"], "left_semi").groupBy("digest", "id", "h").agg(F.count("*").alias("n")))
+    groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1")
+    judged = cut(rows.join(groups, "digest").select("id", "h", "n", F.col("id").eqNullSafe(F.col("keep_id")).alias("best")))
+    mark = free_name(df, "marked")
+    same = lambda marked: named(id_col).eqNullSafe(marked[mark]["id"]) & (F.xxhash64(text) == marked[mark]["h"])
+    listed = lambda rows: rows.select(F.struct("id", "h").alias(mark))
+    gone, twice = listed(judged.where("not best or n > 1")), judged.where("best and n > 1")
+    left = df.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return left
+    repeated = listed(twice)
     own = [named(c) for c in df.columns]
-    alone = marked.where(best_col.isNull()).select(*own)
-    kept = marked.where(best_col.isNotNull() & named(id_col).eqNullSafe(best_col["keep_id"]))
-    return alone.unionByName(kept.withColumn(info, best_col["digest"]).dropDuplicates([info]).select(*own))
+    again = df.join(repeated, same(repeated)).dropDuplicates([mark]).select(*own)
+    return left.unionByName(again)

@@ -100,8 +100,7 @@ def set_key(elements: np.ndarray) -> bytes:
 def _sketch(k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = batch.column(2).to_pylist()
-            for at, held in X.batches(texts):
+            for at, held in X.batches(batch.column(2)):
                 n, keys, sketches = [], [], []
                 for s in shingle_sets(held, k):
                     n.append(len(s))
@@ -119,7 +118,7 @@ def _sketch(k: int):
 def _sets(k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for _, held in X.batches(batch.column(0).to_pylist()):
+            for _, held in X.batches(batch.column(0)):
                 sets = shingle_sets(held, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "elements"]

@@ -82,7 +82,7 @@ def tokenised_pieces(
         library, seen = _tokenizer(tokenizer_path), _seen(tokenizer_path)
         miss = lambda tokens: [e.ids for e in library.encode_batch_fast(tokens, add_special_tokens=False)]
         for batch in rows:
-            for at, held in X.batches(batch.column(1).to_pylist()):
+            for at, held in X.batches(batch.column(1)):
                 ids, bounds = _split_encode(held, tokenizer_path, lambda x: seen.encode(x, miss))
                 index, piece, start, length, out = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):

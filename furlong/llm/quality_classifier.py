@@ -56,7 +56,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _training_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        for at, held in X.batches(batch.column(1).to_pylist()):
+        for at, held in X.batches(batch.column(1)):
             f, bounds = features(held)
             index, counts = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -130,7 +130,7 @@ def score(df: DataFrame, margins: np.ndarray, id_col: str = "doc_id", text_col:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for batch in rows:
-            for at, held in X.batches(batch.column(1).to_pylist()):
+            for at, held in X.batches(batch.column(1)):
                 f, bounds = features(held)
                 sums = np.concatenate([[0.0], np.cumsum(weight[f], dtype=np.float64)])
                 mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.diff(bounds)

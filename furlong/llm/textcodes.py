@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Code points of text that are worked on at once; one longer text is a batch of its own.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,8 +22,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def batches(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) of runs of texts with about ``limit`` code points; null is empty."""
+def batches(texts: Iterable[str | None] | pa.Array, limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) of runs of texts with about ``limit`` code points; null is empty.
+
+    An Arrow array is turned into strings a few rows at a time, so that no second copy of it is held.
+    """
+    if isinstance(texts, pa.Array):
+        whole = texts
+        texts = (t for k in range(0, len(whole), 64) for t in whole.slice(k, 64).to_pylist())
     start, held, n = 0, [], 0
     for i, t in enumerate(texts):
         t = t or ""

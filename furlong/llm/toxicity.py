@@ -39,7 +39,7 @@ def _labelled_features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Per feature hash and fold: in how many texts it stands, and in how many toxic ones."""
     for batch in rows:
         labels, folds = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        for at, held in X.batches(batch.column(0).to_pylist()):
+        for at, held in X.batches(batch.column(0)):
             h, owner = _hashes(held)
             pairs = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1) if len(h) else np.empty((2, 0), np.uint64)
             owner = at + pairs[0].astype(np.int64)
@@ -72,7 +72,7 @@ def _train_rows(hashes: np.ndarray):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _rows_of(hashes)
         for batch in rows:
-            for at, held in X.batches(batch.column(0).to_pylist()):
+            for at, held in X.batches(batch.column(0)):
                 n = len(held)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(at, n), batch.column(2).slice(at, n), pa.array(find(held), pa.list_(pa.int32()))], ["label", "fold", "features"]
@@ -269,7 +269,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in rows:
-            for at, held in X.batches(batch.column(1).to_pylist()):
+            for at, held in X.batches(batch.column(1)):
                 n, out = len(held), m.probabilities(held)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, n), *map(pa.array, out), pa.array(out[-1] >= m.threshold), pa.array(out[-1] < m.threshold)],
@@ -293,7 +293,7 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
         m = shared.value
         for batch in rows:
             keep = []
-            for _, held in X.batches(batch.column(at).to_pylist()):
+            for _, held in X.batches(batch.column(at)):
                 keep.extend((m.probabilities(held)[-1] < m.threshold).tolist())
             yield batch.filter(pa.array(keep, pa.bool_()))
 
