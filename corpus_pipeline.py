@@ -11,12 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from furlong.llm import exact_dedup, near_dedup, secret_scan, toxicity
-from furlong.llm.common import checkpoint_dir, table
+from furlong.llm.common import checkpoint_dir, small_batches, table
 from furlong.llm.queries import pack_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic; the chain learns from labelled rows of ``docs``."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -27,6 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similar sets of five-word shingles."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs, shingle=5, percent=80)
 
 
@@ -37,6 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
+    small_batches(spark)
     return pack_documents(docs)
 
 
