@@ -53,6 +53,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("start_id", *[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in columns])
 
 
+#: Added before rounding, because engines round exact halves differently.
+NUDGE = 1e-9
 FORM = ("form_speed", "form_n", "form_method_speed")
 HISTORY = ("hist_starts", "is_debut", "days_since_last", "cum_earnings", "avg_earn_per_start", "field_size", "post_rel")
 PEOPLE = ("driver_win_rate", "driver_place_rate", "driver_n", "trainer_win_rate", "trainer_place_rate", "trainer_n")
@@ -93,12 +95,12 @@ def race_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priors, field class, par time and day variant of each race."""
     ran = starts(spark, sf_dir).where("scratched = 0").join(features.dated(races(spark, sf_dir)), "race_id")
     got = features.race_states(ran)
-    return got.select("race_id", "field_size", *[F.round(c, 6).alias(c) for c in ("win_prior", "place_prior", "field_class", "par", "variant")])
+    return got.select("race_id", "field_size", *[F.round(F.col(c) + NUDGE, 6).alias(c) for c in ("win_prior", "place_prior", "field_class", "par", "variant")])
 
 
 def odds_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = starts(spark, sf_dir).where("scratched = 0")
-    return s.select("start_id", F.round(market.from_odds(F.col("final_odds"), "race_id"), 6).alias("p"))
+    return s.select("start_id", F.round(market.from_odds(F.col("final_odds"), "race_id") + NUDGE, 6).alias("p"))
 
 
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +250,8 @@ def oracle_sql() -> dict[str, str]:
         "people_rates": FEATURES_SQL + picked(*PEOPLE),
         "horse_history": FEATURES_SQL + picked(*HISTORY),
         "design_matrix": FEATURES_SQL + _matrix_sql(),
-        "race_states": STATES_SQL + "select race_id, field_size, round(win_prior, 6) win_prior, round(place_prior, 6) place_prior, round(field_class, 6) field_class, round(par, 6) par, round(variant, 6) variant from states",
-        "odds_market": STARTS_SQL + "select start_id, round((1 / final_odds) / sum(1 / final_odds) over (partition by race_id), 6) p from starts where scratched = 0",
+        "race_states": STATES_SQL + "select race_id, field_size, round(win_prior + 1e-9, 6) win_prior, round(place_prior + 1e-9, 6) place_prior, round(field_class + 1e-9, 6) field_class, round(par + 1e-9, 6) par, round(variant + 1e-9, 6) variant from states",
+        "odds_market": STARTS_SQL + "select start_id, round((1 / final_odds) / sum(1 / final_odds) over (partition by race_id) + 1e-9, 6) p from starts where scratched = 0",
         "coverage_counts": STARTS_SQL + "select count(*) n_rows, min(date) date_min, max(date) date_max, count(distinct country) n_countries, count(*) filter (sport = 'trot') n_trot from races",
         "country_counts": STARTS_SQL + "select country, count(*) n from races group by 1 order by 2 desc, 1",
         "sport_counts": STARTS_SQL + "select sport, count(*) n, count(distinct race_id) n_races from races group by 1",
