@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import string
+
+from furlong.llm import quality_rules as Q
+
 EXACT_DEDUP = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
        doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
@@ -9,6 +13,88 @@ from documents
 window same as (partition by coalesce(text, ''))
 """
 
+WORD = r"[^\x20\x09-\x0D]"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _count(of: str, chars: str) -> str:
+    return f"length({of}) - length(regexp_replace({of}, '[{chars}]', '', 'g'))"
+
+
+_CHARS = "cast(coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0) as bigint)"
+
+QUALITY_RULES = f"""
+with d as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), parts as (
+    select *, regexp_extract_all(text, '{WORD}+') as words,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines
+    from d
+), judged as (
+    select *, list_filter(lines, lambda x:
+               100 * ({_count("x", Q.SYMBOLS + "!{}")}) <= 8 * length(x)
+               and {_count("x", Q.SEPARATORS)} < {Q.MENU}
+               and regexp_matches(x, {_quoted(Q.SENTENCE_END)})
+               and not (length(x) <= 120 and regexp_matches(x, {_quoted(Q.FURNITURE)}))) as good
+    from parts
+), placed as (
+    select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from parts
+), eight as (
+    select r, i, lead(word, 7) over o as last,
+           concat_ws(' ', word, {", ".join(f"lead(word, {k}) over o" for k in range(1, Q.WINDOW))}) as words
+    from placed window o as (partition by r order by i)
+), counted as (
+    select r, i, count(*) over (partition by r, words) as n from eight where last is not null
+), covered as (
+    select r, least({Q.WINDOW}, coalesce(lead(i) over (partition by r order by i) - i, {Q.WINDOW})) as n from counted where n > 1
+), repeated as (
+    select r, sum(n) as n from covered group by r
+), stats as (
+    select doc_id, len(words) as n_words, {_CHARS.format("words")} as word_chars,
+           {_count("text", Q.SYMBOLS)} as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+           cast(coalesce(n, 0) as bigint) as n_repeat_words, len(lines) as n_lines, len(good) as n_good_lines,
+           {_CHARS.format("lines")} as line_chars, {_CHARS.format("good")} as good_chars
+    from judged left join repeated using (r)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * good_chars >= 50 * line_chars as kept
+from stats
+"""
+
+#: All pairs that share a shingle are counted, without bands or sketches.
+NEAR_DEDUP = f"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}+') as words
+    from documents
+), placed as (
+    select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i, len(words) as n_words from d
+), pairs as (
+    select doc_id, n_words, word, lead(word) over (partition by doc_id order by i) as next from placed
+), shingles as (
+    select distinct doc_id, concat_ws(' ', word, next) as shingle from pairs where next is not null or n_words = 1
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), links as (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), edges as (
+    select a, b from links union all select b, a from links
+), reach(doc_id, other) as (
+    select a, b from edges union select reach.doc_id, edges.b from reach join edges on other = a
+), least_one as (
+    select doc_id, min(other) as other from reach group by doc_id
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) as component_id,
+       d.doc_id <= coalesce(other, d.doc_id) as kept
+from d left join sizes on sizes.doc_id = d.doc_id left join least_one on least_one.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": EXACT_DEDUP}
+    return {"op1_quality_rules": QUALITY_RULES, "op7_minhash_near_dedup": NEAR_DEDUP, "op9_exact_dedup": EXACT_DEDUP}
