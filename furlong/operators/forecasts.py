@@ -112,6 +112,18 @@ def fold_losses(forecasts: DataFrame) -> DataFrame:
     return per.groupBy("fold").agg(F.count("*").alias("n_races"), F.sum("n").alias("n_runners"), *[F.avg(c).alias("loss_" + c[2:]) for c in names])
 
 
+def reliability(forecasts: DataFrame, n_bins: int = 12) -> DataFrame:
+    """(forecast, reliability, resolution, uncertainty) of every forecast over all folds, from quantile bins.
+
+    Quantiles and bins are passes of their own over ``forecasts``, so cache it where it is dear.
+    """
+    parts = [
+        scoring.murphy(scoring.calibration(forecasts, c, n_bins=n_bins)).select(F.lit(c[2:]).alias("forecast"), "*")
+        for c in forecasts.columns if c.startswith("p_")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def comparisons(forecasts: DataFrame, n_boot: int = 2000) -> DataFrame:
     """One row per pair of ``PAIRS`` whose columns are there: losses, skill, interval, test and verdict."""
     spark = forecasts.sparkSession

@@ -35,6 +35,11 @@ def test_walk_forward_learns_from_the_past_alone(spark, frame):
     got = forecasts.walk_forward(frame, ["x"], first, span_days=60, val_days=60)
     rows = got.collect()
     assert {r.fold for r in rows} == {0, 1} and len(rows) == 100 * 2 * 5
+    parts = {r.forecast: r for r in forecasts.reliability(spark.createDataFrame(rows, got.schema)).collect()}
+    assert set(parts) == {c[2:] for c in got.columns if c.startswith("p_")}
+    for r in parts.values():
+        assert abs(r.uncertainty - 0.16) < 1e-9 and 0 <= r.reliability < 0.02 and 0 < r.resolution <= r.uncertainty
+    assert parts["combination"].resolution > parts["market"].resolution
     sums = {}
     for r in rows:
         for c in ("p_market", "p_market_flb", "p_logit", "p_combination"):
@@ -145,4 +150,13 @@ def test_ingest_is_resumable(spark, tmp_path):
     assert run() == [(DAY, 2, 1, 0, True)]
     assert run() == []
     assert sorted(r.key for r in spark.read.parquet(f"{store}/race").collect()) == ["r1", "r2"]
+    (land / "race/r1.json").write_text(json.dumps({"id": "r1", "distance": 2140}))
+    (land / "race/r2.json").unlink()
+    again = landing.ingest(spark, str(land), store, DAY, second, ["SE"], refetch=True)
+    assert sorted(map(tuple, again.collect())) == [(DAY, 2, 1, 0, True), (second, 0, 0, 0, True)]
+    held = {r.key: json.loads(r.json) for r in landing.current(spark, store, "race").collect()}
+    assert held == {"r1": {"id": "r1", "distance": 2140}, "r2": {"id": "r2"}}
+    assert [r.key for r in landing.current(spark, store, "calendar").collect()] == ["2024-01-01"]
+    games = spark.createDataFrame([("V75_2024-01-06_5_1",), ("g1",)], "key string")
+    assert sorted(map(tuple, landing.game_parts(games).collect()))[0] == ("V75_2024-01-06_5_1", "V75", dt.date(2024, 1, 6))
     assert landing.days(spark, second, DAY).isEmpty()
