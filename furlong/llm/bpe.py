@@ -85,7 +85,9 @@ class Seen:
         begin = spans(c, starts)
         end = np.append(begin[1:], len(c)).astype(np.int64)
         keys = X.span_hash(X.prefix_sums(c), begin, end)
-        distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, which = np.unique(keys, return_inverse=True)
+        sample = np.empty(len(distinct), dtype=np.int64)
+        sample[which] = np.arange(len(which))  # any of the equal ones
         known = find(distinct) if find else np.full(len(distinct), -1)
         if len(self.seen) > self.limit:
             self._forget()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -28,6 +29,8 @@ END_ID = 0
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    # A task has one core; threads of the library would only take turns on it.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Tokenizer.from_file(path)
 
 
