@@ -81,7 +81,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     hashed = alike.select("id", "n_bytes", "prefix", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("digest"))
     # Equal rows become one with their number before anything is shuffled.
     rows = cut(hashed.join(prefixes, ["n_bytes", "prefix"], "left_semi").groupBy("digest", "id", "h").agg(F.count("*").alias("n")))
-    groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1")
+    # Written before the join, so that Spark can broadcast it or split a hot digest.
+    groups = cut(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1"))
     judged = cut(rows.join(groups, "digest").select("id", "h", "n", F.col("id").eqNullSafe(F.col("keep_id")).alias("best")))
     mark = free_name(df, "marked")
     same = lambda marked: named(id_col).eqNullSafe(marked[mark]["id"]) & (F.xxhash64(text) == marked[mark]["h"])
