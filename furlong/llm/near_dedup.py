@@ -352,8 +352,11 @@ class _Classes:
         if open_.isEmpty():
             self.scratch.drop(open_)
             return
-        center = self.labelled(self.pop).groupBy("comp").agg(F.max_by("node", F.struct("pop", "node")).alias("hub")).withColumnRenamed("comp", "main")
+        # Written before the join, so that Spark can broadcast it or split a component with very many open nodes.
+        center = self.labelled(self.pop).groupBy("comp").agg(F.max_by("node", F.struct("pop", "node")).alias("hub"))
+        center = write(center.withColumnRenamed("comp", "main"))
         spokes = write(open_.join(center, "main").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        self.scratch.drop(center)
         to_hub = write(self.compare(spokes, detail=True))
         self.merge(self.linked(to_hub))
         bits = sum((F.bit_count(m) for m in MAPS), F.lit(0))
@@ -407,7 +410,7 @@ class _Classes:
     def result(self) -> DataFrame:
         """One row per input row: doc_id, text_hash, n_shingles, component_id."""
         nodes = self.labelled(self.nodes.select("set_key", "node", "least_id"))
-        ids = nodes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+        ids = self.scratch.write(nodes.groupBy("comp").agg(F.min("least_id").alias("component_id")))
         by_set = self.scratch.write(nodes.join(ids, "comp").select("set_key", "component_id"))
         return self.rows.join(by_set, "set_key", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
