@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from furlong.llm import (
     bpe,
+    centroid_clustering,
     exact_dedup,
     license_scan,
     near_dedup,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -110,6 +113,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = centroid_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), dim=64, k=40, rounds=5, seed="2")
+    assigned, inertia = centroid_clustering.inertias(assigned)
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    of_cluster = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("cluster"))
+    return assigned.select(
+        "vec_id", "cluster", "distance",
+        of_cluster([inertia.get(k, 0) for k in range(len(centroids))], "bigint").alias("cluster_inertia"),
+        F.lit(sum(inertia.values())).cast("long").alias("inertia"),
+        of_cluster(digests, "string").alias("centroid_sha256"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where the texts of a tenth of all ids end in repeats of a few of their words, blanks between them."""
+    h = id_crc("doc_id")
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return docs.select("doc_id", F.when(F.col("words").isNotNull() & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,6 +155,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_quality_classifier, op5_license_scan,
-        op6_byte_bpe, op7_minhash_near_dedup, op8_sharding, op9_exact_dedup, op10_secret_scan, pipeline,
+        op6_byte_bpe, op7_minhash_near_dedup, op8_sharding, op9_exact_dedup, op10_secret_scan,
+        op12_centroid_clustering, op13_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in every}
