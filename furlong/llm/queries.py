@@ -22,6 +22,7 @@ from furlong.llm import (
     quality_rules,
     secret_scan,
     sharding,
+    substring_dedup,
     toxicity,
 )
 from furlong.llm.common import table
@@ -113,6 +114,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = centroid_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), dim=64, k=40, rounds=5, seed="2")
     assigned, inertia = centroid_clustering.inertias(assigned)
@@ -156,6 +162,6 @@ def queries() -> dict[str, Query]:
     every = (
         op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_quality_classifier, op5_license_scan,
         op6_byte_bpe, op7_minhash_near_dedup, op8_sharding, op9_exact_dedup, op10_secret_scan,
-        op12_centroid_clustering, op13_periodic_runs, pipeline,
+        op11_substring_dedup, op12_centroid_clustering, op13_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in every}

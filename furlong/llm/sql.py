@@ -96,5 +96,59 @@ from d left join sizes on sizes.doc_id = d.doc_id left join least_one on least_o
 """
 
 
+SUBSTRING_DEDUP = f"""
+with d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}+') as words from documents
+), placed as (
+    select r, doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from d
+), windows as (
+    select r, doc_id, word, i, case when lead(word, 12) over o is not null then
+           concat_ws(' ', word, {", ".join(f"lead(word, {k}) over o" for k in range(1, 13))}) end as words
+    from placed window o as (partition by r order by i)
+), judged as (
+    select r, i, word, words is not null and min(doc_id) over (partition by words) < doc_id as later from windows
+), covered as (
+    select r, i, word, coalesce(max(case when later then i end) over (partition by r order by i rows between 12 preceding and current row), -99) >= i - 12 as gone
+    from judged
+), kept as (
+    select r, count_if(gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as text from covered group by r
+)
+select doc_id, len(words) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (r)
+"""
+
+
+def _clusters(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    near = """assigned{0} as materialized (
+    select r, vec_id, q, cast(least_one % {k} as int) as cluster, cast(least_one // {k} as bigint) as distance from (
+        select r, vec_id, v.q, min(cast(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as hugeint) * {k} + c.n) as least_one
+        from v cross join centroids{0} c group by r, vec_id, v.q)
+)"""
+    moved = """centroids{1} as materialized (
+    select n, coalesce(m.q, c.q) as q from centroids{0} c left join (
+        select cluster, list(cast((total - ((total % held) + held) % held) // held as bigint) order by i) as q from (
+            select cluster, i, sum(x) as total, count(*) as held
+            from (select cluster, unnest(q) as x, unnest(range(1, {dim} + 1)) as i from assigned{0}) group by cluster, i) group by cluster
+    ) m on m.cluster = c.n
+)"""
+    steps = [near.format(0, k=k)]
+    for i in range(rounds):
+        steps += [moved.format(i, i + 1, dim=dim), near.format(i + 1, k=k)]
+    return f"""
+with v as materialized (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+    from embeddings where len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dim}
+), centroids0 as materialized (
+    select n, q from (select row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), q) - 1 as n, q from v) where n < {k}
+), {", ".join(steps)}
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+       cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+from assigned{rounds} join centroids{rounds} c on c.n = cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY_RULES, "op7_minhash_near_dedup": NEAR_DEDUP, "op9_exact_dedup": EXACT_DEDUP}
+    return {
+        "op1_quality_rules": QUALITY_RULES, "op7_minhash_near_dedup": NEAR_DEDUP, "op9_exact_dedup": EXACT_DEDUP,
+        "op11_substring_dedup": SUBSTRING_DEDUP, "op12_centroid_clustering": _clusters(),
+    }

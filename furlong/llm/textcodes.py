@@ -86,6 +86,15 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def window_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every ``size`` consecutive numbers of ``h``; equal windows hash equal wherever they stand."""
+    up, down = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(mix(h + ODD) * up[: len(h)], out=sums[1:])
+    n = max(0, len(h) - size + 1)
+    return mix((sums[size : size + n] - sums[:n]) * down[:n])
+
+
 def words(c: np.ndarray, starts: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of the maximal runs without ``blank`` inside each text."""
     inside = np.zeros(len(c) + 1, dtype=bool)

@@ -1,4 +1,4 @@
-"""Periodic runs and centroid clustering, held against brute force."""
+"""Substring dedup, periodic runs and centroid clustering, held against brute force."""
 
 import hashlib
 import math
@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from furlong.llm import centroid_clustering, periodic_runs, queries
+from furlong.llm import centroid_clustering, periodic_runs, queries, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,3 +139,63 @@ def test_clusters_by_brute_force(spark, k):
 def test_clusters_of_no_rows(spark):
     assigned, centroids = centroid_clustering.cluster_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert (assigned.count(), centroids) == (0, [])
+
+
+def without_repeats(rows, window):
+    """(id, words, removed words, kept text) of each (id, text); None is behind every id."""
+    order = lambda i: math.inf if i is None else i
+    least = {}
+    held = [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in held:
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            least[key] = min(least.get(key, math.inf), order(i))
+    out = []
+    for i, w in held:
+        gone = {k + j for k in range(len(w) - window + 1) if least[tuple(w[k : k + window])] < order(i) for j in range(window)}
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def passages(rnd, n):
+    """Texts that share passages of all lengths, very common ones and repeats of their own among them."""
+    common = [f"c{i}" for i in range(40)]
+    pool = [[f"p{k}_{i}" for i in range(rnd.randrange(5, 60))] for k in range(12)]
+    texts = [None, "", " \x0b\n", "one", "same " * 200, "same " * 90, "é 中 x\u00a0y " * 20]
+    for k in range(n):
+        w = []
+        for _ in range(rnd.randrange(6)):
+            part = rnd.choice([common, rnd.choice(pool), [f"u{k}_{i}" for i in range(rnd.randrange(20))], ["same"] * rnd.randrange(30)])
+            a = rnd.randrange(len(part) + 1)
+            w += rnd.choice([part, part[a:], part[:a]])
+        texts.append(rnd.choice([" ", "\n", "  "]).join(w))
+    return texts
+
+
+@pytest.mark.parametrize(("window", "group", "batch"), [(13, 1 << 21, 1 << 21), (13, 300, 500), (2, 50, 10), (5, 1, 3000)])
+def test_substrings_by_brute_force(spark, window, group, batch):
+    rnd = random.Random(window + group)
+    rows = list(enumerate(passages(rnd, 120)))
+    rnd.shuffle(rows)
+    rows += rows[:4] + [(3, rows[7][1]), (None, rows[8][1]), (None, rows[9][1])]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, places int").repartition(5)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.drop_repeats(df, window=window, group=group, batch=batch).collect()]
+    assert sorted(got, key=str) == without_repeats(rows, window)
+
+
+def test_prefixes_split_groups_by_memory():
+    prefixes = substring_dedup.Prefixes()
+    h = np.array([1 << 56, 2 << 56, 3 << 56, 1 << 56, 2 << 56, 4 << 56], dtype=np.uint64)
+    prefixes.first[:] = 5
+    prefixes.first[(1 << 8) | 2] = -1
+    prefixes.more = np.arange(256).reshape(1, 256)
+    group, place = prefixes.groups(h, np.array([0, 1, 3]))
+    assert group.tolist() == [3, 5, 4] and place.tolist() == [3, 3, 6]
+
+
+def test_removed_spans_and_no_rows(spark):
+    words = [f"w{i}" for i in range(30)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "a b " + " ".join(words[3:20]) + " c")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in substring_dedup.drop_repeats(df).collect()}
+    assert got == {1: [], 2: [(2, 19)]}
+    assert substring_dedup.drop_repeats(df.limit(0)).count() == 0

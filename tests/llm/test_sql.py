@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as from '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as from '{SF}/{t}.parquet'")
     got = con.execute(sql.oracle_sql()[name])
     names = [d[0] for d in got.description]
     df = queries.queries()[name](spark, SF)
