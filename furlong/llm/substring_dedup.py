@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import textcodes as X
-from furlong.llm.common import free_name, named
+from furlong.llm.common import free_name, named, small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Suffixes of a group and words of a batch of texts, both by what a task's memory holds.
@@ -139,93 +140,108 @@ def choose_prefixes(rows: DataFrame, window: int, least_groups: int, group: int
     return prefixes, int(entries.max()) + 1
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Differences of ascending numbers below 2**32, the low bytes of all before the higher ones: runs of zeros for the shuffle's compression."""
-    return np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of ``width`` bytes, the low bytes of all before the higher ones: runs of zeros for the shuffle's compression."""
+    return x.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
+def _from_planes(raw: bytes, width: int = 4) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(f"<i{width}").ravel().astype(np.int64)
 
 
-PARTS = ["part", "ids", "keys", "counts", "places", "hashes"]
+#: Bytes of a node's hash that are sent.
+NODE = 7
+PARTS = ["part", "batch", "ids", "keys", "counts", "places", "nodes"]
 
 
-def _part(part: int, rows: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, hashes: np.ndarray | None) -> tuple:
-    """One row of suffixes: the documents that have any, and their ascending places, as numbers of words in the document."""
+def _part(rows: np.ndarray, words: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple:
+    """Suffixes by ascending row and place in the row: the rows' ids, keys, numbers of suffixes and of words, and the suffixes' places."""
     held, counts = np.unique(rows, return_counts=True)
-    base = np.repeat(np.concatenate(([0], np.cumsum(np.diff(start)[held])))[:-1], counts)  # documents one behind the other
-    return (
-        part, ids[held].tobytes(), keys[held].tobytes(), np.stack((counts, np.diff(start)[held])).astype("<u4").tobytes(),
-        _planes(place - start[rows] + base), b"" if hashes is None else hashes.tobytes(),
-    )
+    words = words[held]
+    ahead = np.repeat(np.cumsum(words) - words, counts)  # rows one behind the other, so that places ascend
+    return _planes(ids[held], 8), _planes(keys[held]), _planes(np.concatenate((counts, words))), _planes(np.diff(place + ahead, prepend=0))
 
 
-def _read_part(ids: bytes, keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, key, place in the document) of each suffix of a row."""
-    n, words = np.frombuffer(counts, "<u4").astype(np.int64).reshape(2, -1)
-    base = np.repeat(np.cumsum(words) - words, n)
-    return np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(keys, np.int64), n), _from_planes(places) - base
+def _read_part(ids: bytes, keys: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, ...]:
+    """Id, key and words of each row; row and place of each suffix."""
+    ids, keys = _from_planes(ids, 8), _from_planes(keys)
+    n, words = _from_planes(counts).reshape(2, -1)
+    return ids, keys, words, np.repeat(np.arange(len(n)), n), np.cumsum(_from_planes(places)) - np.repeat(np.cumsum(words) - words, n)
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], PARTS)
 
 
 def _sent(prefixes: Prefixes, n_groups: int, window: int, batch: int) -> Callable:
-    """Per batch of texts and group a row with the suffixes whose node no smaller document of the batch reaches, and one row with the others' places."""
+    """Per batch of texts and group a row with the suffixes whose node no smaller document of the batch reaches, and one row without nodes for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, h, n, at in _suffixes(batches, window, batch):
+        for number, (rows, h, n, at) in enumerate(_suffixes(batches, window, batch)):
             if not len(at):
                 continue
+            number += TaskContext.get().partitionId() << 32
             ids, keys = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            start = np.concatenate(([0], np.cumsum(n)))
             of = np.repeat(np.arange(len(n)), n)[at]
+            place = at - (np.cumsum(n) - n)[of]
             end = X.window_hash(h, window)[at]
             # By node, then document, row and place; of a row that reaches a node more than once the first suffix stands for all.
             order = np.lexsort((ids[of], end))
             node, row = end[order], of[order]
             new_node = np.concatenate(([True], node[1:] != node[:-1]))
             first = new_node | np.concatenate(([True], row[1:] != row[:-1]))
-            order, node, row, new_node = order[first], node[first], row[first], new_node[first]
+            order, row, new_node = order[first], row[first], new_node[first]
             least = ids[row[np.flatnonzero(new_node)]][np.cumsum(new_node) - 1]
             known = ids[row] > least
-            out = []
             if known.any():
                 chosen = np.sort(order[known])
-                out.append(_part(int(keys[0]) % n_groups, of[chosen], at[chosen], ids, keys, start, None))
+                yield _table([(number % n_groups, number, *_part(of[chosen], n, place[chosen], ids, keys), b"")])
             asked = np.sort(order[~known])
             group, _ = prefixes.groups(h, at[asked])
-            asked = asked[np.argsort(group, kind="stable")]
-            group = np.sort(group)
+            asked, group = asked[np.argsort(group, kind="stable")], np.sort(group)
             cuts = np.flatnonzero(np.diff(group)) + 1
+            sent = np.ascontiguousarray(end.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NODE])
             for chosen, g in zip(np.split(asked, cuts), group[np.concatenate(([0], cuts))].tolist(), strict=True):
-                out.append(_part(g, of[chosen], at[chosen], ids, keys, start, end[chosen]))
-            for k in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out[k : k + 64], strict=True))], PARTS
-                )
+                yield _table([(g, number, *_part(of[chosen], n, place[chosen], ids, keys), sent[chosen].tobytes())])
 
     return run
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """The places whose node a document with a smaller id reaches, by document, from all rows of one group."""
-    known, asked = [], []
-    for ids, keys, counts, places, hashes in zip(*(table.column(c).to_pylist() for c in PARTS[1:]), strict=True):
-        (asked if hashes else known).append((*_read_part(ids, keys, counts, places), np.frombuffer(hashes, np.uint64)))
-    found = [x[:3] for x in known]
+    """Of one group's rows, per batch of texts the suffixes whose node a document with a smaller id reaches."""
+    out, asked = [], []
+    for row in zip(*(table.column(c).to_pylist() for c in PARTS), strict=True):
+        (asked if row[-1] else out).append(row)
     if asked:
-        ids, keys, places, nodes = (np.concatenate(x) for x in zip(*asked, strict=True))
+        read = [_read_part(*row[2:6]) for row in asked]
+        ids = np.concatenate([x[0][x[3]] for x in read])
+        nodes = np.zeros((len(ids), 8), dtype=np.uint8)
+        nodes[:, :NODE] = np.frombuffer(b"".join(row[-1] for row in asked), np.uint8).reshape(-1, NODE)
+        nodes = nodes.view("<u8").ravel()
         order = np.argsort(nodes)
         nodes, by_node = nodes[order], ids[order]
         first = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
         least = np.repeat(np.minimum.reduceat(by_node, first), np.diff(np.append(first, len(nodes))))
-        later = order[by_node > least]
-        found.append((ids[later], keys[later], places[later]))
-    ids, keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        later = np.zeros(len(ids), dtype=bool)
+        later[order[by_node > least]] = True
+        ends = np.cumsum([len(x[3]) for x in read])
+        for row, (own_ids, keys, words, of, place), found in zip(asked, read, np.split(later, ends[:-1]), strict=True):
+            if found.any():
+                out.append((row[0], row[1], *_part(of[found], words, place[found], own_ids, keys), b""))
+    return pa.Table.from_batches([_table(out)]) if out else table.slice(0, 0)
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """All groups' answers for one batch of texts, by document."""
+    read = [_read_part(*row) for row in zip(*(table.column(c).to_pylist() for c in PARTS[2:6]), strict=True)]
+    ids, keys = (np.concatenate([x[i][x[3]] for x in read]) for i in (0, 1))
+    places = np.concatenate([x[4] for x in read])
     order = np.lexsort((places, keys, ids))
     ids, keys, places = ids[order], keys[order], places[order]
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))[: len(ids)])
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(places.astype(np.int32)))
-    return pa.Table.from_arrays([pa.array(ids[first]), pa.array(keys[first]), lists], ["id", "key", "places"])
+    return pa.Table.from_arrays([pa.array(ids[first]), pa.array(keys[first].astype(np.int32)), lists], ["id", "key", "places"])
 
 
 def _kept(window: int) -> Callable:
@@ -267,24 +283,27 @@ def drop_repeats(
     words joined by one blank.
 
     Removed is every word inside a window of ``window`` words (two at least) that also starts in a row with a smaller id; windows are judged on
-    the input. Whole texts count. Two windows are equal if 64 bits of their hashes and the bytes of their group's prefix are.
+    the input. Whole texts count. Two windows are equal if 56 bits of their hashes and the group of their prefixes are.
 
-    One scan or more counts prefixes, one sends 8 bytes and a place for each suffix to its group, and what the groups find meets the texts by id and text hash.
+    One scan or more counts prefixes, one sends 7 bytes and a place for each suffix to its group; what the groups find goes back by batch and
+    meets the texts by id and text hash.
     A batch of texts sends one suffix a node and row at most, so very common passages are no hot keys.
 
     Ids are numbers; null ids come behind all others, and no null id behind another. Null texts have no words. Repeated rows, and
     rows with one id, remove nothing from each other. Extra columns are ignored. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    small_batches(spark)
     text = F.coalesce(named(text_col), F.lit(""))
-    rows = df.select(F.coalesce(named(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = df.select(F.coalesce(named(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.hash(text).alias("key"), text.alias("text"))
     prefixes, n_groups = choose_prefixes(rows, window, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), group, batch)
-    sent = rows.mapInArrow(_sent(prefixes, n_groups, window, batch), "part int, " + ", ".join(f"{c} binary" for c in PARTS[1:]))
-    found = sent.groupBy("part").applyInArrow(_repeats, "id long, key long, places array<int>")
-    found = found.groupBy("id", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    kinds = "part int, batch long, " + ", ".join(f"{c} binary" for c in PARTS[2:])
+    sent = rows.mapInArrow(_sent(prefixes, n_groups, window, batch), kinds)
+    found = sent.groupBy("part").applyInArrow(_repeats, kinds).groupBy("batch").applyInArrow(_by_document, "id long, key int, places array<int>")
+    found = found.groupBy("id", "key").agg(F.first("places").alias("places"))  # repeated rows have equal places
     doc = free_name(df, "doc")
     docs = df.select(F.struct(named(id_col).alias("doc_id"), text.alias("text")).alias(doc))
-    own = (F.coalesce(F.col(doc)["doc_id"].cast("long"), F.lit(int(NO_ID))) == F.col("id")) & (F.xxhash64(F.col(doc)["text"]) == F.col("key"))
+    own = (F.coalesce(F.col(doc)["doc_id"].cast("long"), F.lit(int(NO_ID))) == F.col("id")) & (F.hash(F.col(doc)["text"]) == F.col("key"))
     met = docs.join(found, own, "left").select(F.col(doc)["doc_id"].alias("doc_id"), F.col(doc)["text"].alias("text"), "places")
     kind = dict(met.dtypes)["doc_id"]
     return met.mapInArrow(_kept(window), f"doc_id {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
