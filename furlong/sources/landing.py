@@ -1,7 +1,6 @@
-"""Ingest from a landing folder: calendar/<day>.json, race/<id>.json and game/<id>.json.
+"""Documents of a landing folder, calendar/<day>.json, race/<id>.json and game/<id>.json, and what a calendar asks for.
 
-A downloader fills the folder; a file that is missing stands for "not found". Days are
-resumable: a day without failures is logged as done and not read again.
+A downloader fills the folder; a file that is missing stands for "not found".
 """
 
 from __future__ import annotations
@@ -12,10 +11,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.functions.documents import last_wins
-
-STORED = "key string, day date, json string, stored_at timestamp"
-
 #: The game types and sport that are kept.
 GAME_TYPES = ["V75", "V86", "V64", "V65", "GS75", "V5", "V4", "V3", "dd", "ld"]
 SPORTS = ["trot"]
@@ -37,21 +32,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(name.alias("key"), F.col("value").alias("json"), F.when(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), doc).alias("doc"))
 
 
-def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException:  # the first run
-        return spark.createDataFrame([], schema)
-
-
-def current(spark: SparkSession, store: str, kind: str) -> DataFrame:
-    """The documents of ``kind`` (calendar, race, game), one a key: what was stored later replaces what came before.
-
-    Files are only added, so readers never meet a half-written table.
-    """
-    return last_wins(stored(spark, f"{store}/{kind}", STORED), ["key"], "stored_at")
-
-
 def game_parts(games: DataFrame) -> DataFrame:
     """``games`` with game_type and game_date, the first two parts of a key like V75_2024-01-01_5_1."""
     parts = F.split("key", "_")
@@ -82,49 +62,8 @@ def wanted_games(calendars: DataFrame) -> DataFrame:
     return got.where(F.col("kind").isin(GAME_TYPES) & F.col("key").isNotNull()).select("day", "key").distinct()
 
 
-def ingest(
-    spark: SparkSession, landing: str, store: str, first: dt.date, last: dt.date, countries: list[str] | None = None, skip_games: bool = False,
-    refetch: bool = False,
-) -> DataFrame:
-    """Takes in the days that are not done; returns and logs (day, n_races, n_games, n_fail, done).
-
-    Races and games already stored count but are not stored again; games must be finished too. With ``refetch`` done days are
-    taken in again, and what has landed is stored again and replaces what was there (``current``). A
-    payload that is no JSON object is a failure, and its day stays open. A day without a
-    calendar file is done with nothing.
-    """
-    log_kind = "day date, n_races long, n_games long, n_fail long, done boolean"
-    log = stored(spark, f"{store}/log", log_kind)
-    done = log.where(F.col("done") & ~F.lit(refetch)).select("day")
-    open_days = days(spark, first, last).join(done, "day", "left_anti")
-    files = documents(spark, f"{landing}/calendar").withColumn("day", F.col("key").try_cast("date"))
-    found = open_days.join(files, "day", "left").cache()
-    calendars = found.where("doc is not null").select("day", "doc")
-    counts = found.select("day", F.lit(None).cast("string").alias("kind"), (F.col("json").isNotNull() & F.col("doc").isNull()).alias("failed"))
-    kinds = [("race", wanted_races(calendars, countries))] + ([] if skip_games else [("game", wanted_games(calendars))])
-    new, cached = {}, [found]
-    for kind, want in kinds:
-        have = stored(spark, f"{store}/{kind}", STORED).select("key").distinct()
-        missing = (want if refetch else want.join(have, "key", "left_anti")).join(documents(spark, f"{landing}/{kind}"), "key").cache()
-        cached.append(missing)
-        taken = missing.where("doc is not null")
-        if kind == "game":
-            taken = taken.where(F.try_variant_get("doc", "$.status", "string") == "results")
-        new[kind] = taken.groupBy("key").agg(F.min("day").alias("day"), F.first("json").alias("json"))
-        held = want.join(have.union(taken.select("key")), "key", "left_semi").select("day", "key")
-        counts = counts.union(held.select("day", F.lit(kind), F.lit(False)))
-        counts = counts.union(missing.where("doc is null").select("day", F.lit(None).cast("string"), F.lit(True)))
-    n_fail = F.count_if("failed")
-    report = counts.groupBy("day").agg(
-        F.count_if(F.col("kind") == "race").alias("n_races"), F.count_if(F.col("kind") == "game").alias("n_games"),
-        n_fail.alias("n_fail"), (n_fail == 0).alias("done"),
-    )
-    rows = report.collect()  # one a day
-    new["calendar"] = calendars.join(found.select("day", "key", "json"), "day")
-    for kind, df in new.items():
-        df.select("key", "day", "json", F.current_timestamp().alias("stored_at")).write.mode("append").parquet(f"{store}/{kind}")
-    out = spark.createDataFrame(rows, log_kind)
-    out.write.mode("append").parquet(f"{store}/log")  # last, so that a run that broke off is taken up again
-    for held in cached:
-        held.unpersist()
-    return out
+def fetch_keys(keys: DataFrame, kind: str, folder: str) -> DataFrame:
+    """``keys`` (day, key) with json and failure, both null where nothing has landed; a payload that is no JSON object is a failure."""
+    found = documents(keys.sparkSession, f"{folder}/{kind}")
+    bad = F.when(F.col("json").isNotNull() & F.col("doc").isNull(), "not a JSON object")
+    return keys.join(found, "key", "left").select("day", "key", F.when(bad.isNull(), F.col("json")).alias("json"), bad.alias("failure"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from furlong.functions import documents
 from furlong.operators import forecasts, market
-from furlong.sources import landing
 
 DAY = dt.date(2024, 1, 1)
 
@@ -122,41 +121,3 @@ def test_first_pool_of_a_start_counts(spark):
     runners = spark.createDataFrame([("r1", 1, 1), ("r1", 2, 0)], "race_id string, number int, y int")
     shares = lambda f: sorted((r.number, round(r.p, 6)) for r in market.from_shares(runners, f).collect())
     assert shares(got) == [(1, 0.857143), (2, 0.142857)] and shares(documents.bet_distribution(docs)) == []
-
-
-def test_ingest_is_resumable(spark, tmp_path):
-    land, store = tmp_path / "landing", str(tmp_path / "store")
-    for kind in ("calendar", "race", "game"):
-        (land / kind).mkdir(parents=True)
-    race = lambda i, status="results": {"id": i, "status": status}
-    calendar = {
-        "tracks": [
-            {"sport": "trot", "countryCode": "SE", "races": [race("r1"), race("r2"), race("r3", "upcoming"), race("gone")]},
-            {"sport": "gallop", "countryCode": "SE", "races": [race("r4")]},
-            {"sport": "trot", "country": "NO", "races": [race("r5")]},
-        ],
-        "games": {"V75": [{"id": "g1"}, {"id": "g2"}], "other": [{"id": "g3"}]},
-    }
-    (land / "calendar/2024-01-01.json").write_text(json.dumps(calendar))
-    for i in ("r1", "r4", "r5"):
-        (land / f"race/{i}.json").write_text(json.dumps({"id": i}))
-    (land / "race/r2.json").write_text("<html>")
-    (land / "game/g1.json").write_text(json.dumps({"id": "g1", "status": "results"}))
-    (land / "game/g2.json").write_text(json.dumps({"id": "g2", "status": "open"}))
-    run = lambda: sorted(tuple(r) for r in landing.ingest(spark, str(land), store, DAY, DAY + dt.timedelta(days=1), ["SE"]).collect())
-    second = DAY + dt.timedelta(days=1)
-    assert run() == [(DAY, 1, 1, 1, False), (second, 0, 0, 0, True)]
-    (land / "race/r2.json").write_text(json.dumps({"id": "r2"}))
-    assert run() == [(DAY, 2, 1, 0, True)]
-    assert run() == []
-    assert sorted(r.key for r in spark.read.parquet(f"{store}/race").collect()) == ["r1", "r2"]
-    (land / "race/r1.json").write_text(json.dumps({"id": "r1", "distance": 2140}))
-    (land / "race/r2.json").unlink()
-    again = landing.ingest(spark, str(land), store, DAY, second, ["SE"], refetch=True)
-    assert sorted(map(tuple, again.collect())) == [(DAY, 2, 1, 0, True), (second, 0, 0, 0, True)]
-    held = {r.key: json.loads(r.json) for r in landing.current(spark, store, "race").collect()}
-    assert held == {"r1": {"id": "r1", "distance": 2140}, "r2": {"id": "r2"}}
-    assert [r.key for r in landing.current(spark, store, "calendar").collect()] == ["2024-01-01"]
-    games = spark.createDataFrame([("V75_2024-01-06_5_1",), ("g1",)], "key string")
-    assert sorted(map(tuple, landing.game_parts(games).collect()))[0] == ("V75_2024-01-06_5_1", "V75", dt.date(2024, 1, 6))
-    assert landing.days(spark, second, DAY).isEmpty()
