@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each takes what the one before kept.
 
 Stage functions take (spark, docs, sf_dir) and return a DataFrame; all but the last return
-the columns of ``docs``. ``run`` writes each stage's rows and reads them again for the next.
+the columns of ``docs``. ``run`` writes each stage's rows, reads them again for the next, and
+removes what it no longer reads; the last stage's rows stay for the caller.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from furlong.llm import exact_dedup, near_dedup, secret_scan, toxicity
-from furlong.llm.common import checkpoint_dir, small_batches, table
+from furlong.llm.common import small_batches, table
 from furlong.llm.queries import pack_documents
+from furlong.scratch import checkpoint_dir, remove, temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +61,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     top = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            remove(spark, f"{top}/{k - 1}")
     return docs
