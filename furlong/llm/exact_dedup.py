@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import cut, free_name, named
+from furlong.llm.common import Scratch, cut, free_name, named
 
 PREFIX_CHARS = 128
 #: Up to so many lengths (16 MB) their list is broadcast; beyond, Spark joins by shuffle.
@@ -63,29 +63,34 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of identical texts, the one with the largest id; all columns unchanged.
 
-    Only rows that share their text's length are looked at again, of those only rows that share a hash of
-    their first ``PREFIX_CHARS`` characters too are grouped by the hash of the whole text. All three passes move
-    lengths, hashes and ids; texts only meet the list of rows that go.
+    Rows are refined step by step: a list of shared lengths; of the rows with such a length, a hash of their first ``PREFIX_CHARS``
+    characters; the written ids of those that share both. Only the texts of these ids are read to their end and hashed. All passes
+    group lengths, hashes and ids; texts only meet the list of suspects and the list of rows that go, by id.
 
     Null texts count as empty. Of repeated rows with one id and text one stays, any of those that differ in other
     columns. Null ids lose against any other. Column names of ``df`` cannot clash. An empty table gives an empty result.
     """
     text = F.coalesce(named(text_col), F.lit(""))
+    scratch = Scratch(df.sparkSession)
     lengths = df.select(F.octet_length(text).alias("n_bytes")).groupBy("n_bytes").agg(F.count("*").alias("n"))
-    lengths = cut(lengths.where("n > 1").select("n_bytes"))
-    alike = df.select(named(id_col).alias("id"), F.octet_length(text).alias("n_bytes"), text.alias("text"))
-    alike = alike.join(F.broadcast(lengths), "n_bytes", "left_semi") if lengths.count() <= MAX_LENGTHS else alike.join(lengths, "n_bytes", "left_semi")
-    alike = alike.withColumn("prefix", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)))
+    lengths = scratch.write(lengths.where("n > 1").select("n_bytes"))
+    alike = df.select(named(id_col).alias("id"), F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"))
+    alike = alike.join(F.broadcast(lengths) if lengths.count() <= MAX_LENGTHS else lengths, "n_bytes", "left_semi")
+    alike = scratch.write(alike)
     prefixes = alike.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("n_bytes", "prefix")
-    prefixes = cut(prefixes)
-    hashed = alike.select("id", "n_bytes", "prefix", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    prefixes = scratch.write(prefixes)
+    suspects = scratch.write(alike.join(prefixes, ["n_bytes", "prefix"], "left_semi").select("id").distinct())
     # Equal rows become one with their number before anything is shuffled.
-    rows = cut(hashed.join(prefixes, ["n_bytes", "prefix"], "left_semi").groupBy("digest", "id", "h").agg(F.count("*").alias("n")))
+    texts = df.select(named(id_col).alias("own_id"), text.alias("text")).join(suspects, F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    hashed = texts.select(F.col("own_id").alias("id"), F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = scratch.write(hashed.groupBy("digest", "id", "h").agg(F.count("*").alias("n")))
     # Written before the join, so that Spark can broadcast it or split a hot digest.
-    groups = cut(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1"))
-    judged = cut(rows.join(groups, "digest").select("id", "h", "n", F.col("id").eqNullSafe(F.col("keep_id")).alias("best")))
+    groups = scratch.write(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1"))
+    judged = scratch.write(rows.join(groups, "digest").select("id", "h", "n", F.col("id").eqNullSafe(F.col("keep_id")).alias("best")))
+    scratch.drop(lengths, alike, prefixes, suspects, rows, groups)
     mark = free_name(df, "marked")
-    same = lambda marked: named(id_col).eqNullSafe(marked[mark]["id"]) & (F.xxhash64(text) == marked[mark]["h"])
+    # Joined by id; a text is hashed only where its id is listed, so the hash must not become a key of the join.
+    same = lambda marked: named(id_col).eqNullSafe(marked[mark]["id"]) & (F.xxhash64(text).bitwiseXOR(marked[mark]["h"]) == 0)
     listed = lambda rows: rows.select(F.struct("id", "h").alias(mark))
     gone, twice = listed(judged.where("not best or n > 1")), judged.where("best and n > 1")
     left = df.join(gone, same(gone), "left_anti")
