@@ -110,6 +110,28 @@ def span_text(spans: Column) -> Column:
     )
 
 
+#: Gaps whose text is taken at once; substrings of a long text are sought from its start.
+PART = 128
+
+
+def _gaps(found: DataFrame) -> DataFrame:
+    """What is left between the spans of each text: key, ``parts`` of up to PART gaps (start, n) each, and the end of the last span.
+
+    Overlapping spans count as one. A span is a row here, so work is linear in them.
+    """
+    x = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), "row", F.explode("spans").alias("x")).select("key", "row", "x.start", "x.end")
+    w = Window.partitionBy("row").orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("before", before).withColumn("island", F.sum((F.col("start") >= F.col("before")).cast("int")).over(w))
+    islands = x.groupBy("row", "island").agg(F.first("key").alias("key"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("before").alias("before"))
+    gap = F.struct(F.col("before").alias("start"), (F.col("start") - F.col("before")).alias("n"))
+    parts = islands.groupBy("row", F.floor((F.col("island") - 1) / PART).alias("part")).agg(
+        F.first("key").alias("key"), F.min("before").alias("from"), F.max("start").alias("to"), F.max("end").alias("end"), F.sort_array(F.collect_list(gap)).alias("gaps")
+    )
+    part = F.struct(F.col("from").alias("start"), F.col("to").alias("end"), "gaps")
+    return parts.groupBy("row").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(part)).alias("parts"), F.max("end").alias("end"))
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every reported span replaced by ``mask``; all other text and columns unchanged.
 
@@ -120,18 +142,20 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     info = free_name(df, "secrets")
     text, key = named(text_col), F.struct(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("h"))
     keyed = df.select(key.alias("key"), text.alias("text"))
-    spans = scan_secrets(keyed, "key", "text", scope).where(F.size("spans") > 0)
-    spans = cut(spans.dropDuplicates(["doc_id"]).select(F.struct("doc_id", "spans").alias(info)))
+    found = scan_secrets(keyed, "key", "text", scope).where(F.size("spans") > 0)
+    gaps = cut(_gaps(found).select(F.struct("key", "parts", "end").alias(info)))
     held = F.col(info)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(
-            x["start"] >= s["at"], F.concat(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))
-        ).otherwise("")
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
-
-    done = F.aggregate(held["spans"], state, step)
-    clean = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    joined = df.join(spans, named(id_col).eqNullSafe(held["doc_id"]["id"]) & (F.xxhash64(text) == held["doc_id"]["h"]), "left")
-    return joined.select(*[F.when(held.isNull(), text).otherwise(clean).alias(c) if c == text_col else named(c) for c in df.columns])
+
+    def joined(part: Column) -> Column:
+        one = F.transform(part["gaps"], lambda g: F.substring(part["text"], (g["start"] - part["start"] + 1).cast("int"), g["n"].cast("int")))
+        return F.array_join(one, mask)
+
+    # A part's text is taken once, and its gaps from that short text.
+    parts = F.transform(
+        held["parts"], lambda p: F.struct(p["start"], p["gaps"], F.substring(text, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")).alias("text"))
+    )
+    tail = F.substring(text, (held["end"] + 1).cast("int"), F.length(text))
+    clean = F.array_join(F.concat(F.transform(parts, joined), F.array(tail)), mask)
+    same = named(id_col).eqNullSafe(held["key"]["id"]) & (F.xxhash64(text).bitwiseXOR(held["key"]["h"]) == 0)
+    joined_rows = df.join(gaps, same, "left")
+    return joined_rows.select(*[F.when(held.isNull(), text).otherwise(clean).alias(c) if c == text_col else named(c) for c in df.columns])
