@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import named, Scratch
+from furlong.llm.common import Scratch, named
 
 #: Components up to this size keep squared distances of some thousand components within 64 bits.
 LIMIT = 1 << 26

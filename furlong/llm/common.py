@@ -1,13 +1,12 @@
-"""What the corpus operators share: cutting lineage, reading tables, column names that cannot clash."""
+"""What the corpus operators share: reading tables, column names that cannot clash, cutting lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.scratch import Scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,21 +25,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder serves a session on one machine (tests); on a
-    cluster it would be lost with its machine, so there it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="furlong-"))
-    return sc.getCheckpointDir()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand whole texts to Python workers at most ``rows`` at a time, in this session from now on.
 
@@ -51,33 +35,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set(name, str(rows if now <= 0 else min(now, rows)))
 
 
-class Scratch:
-    """Tables that one job writes to the shared folder and reads again.
-
-    Written tables survive lost executors, are read by column, and have a known size, by which
-    Spark decides what it broadcasts. ``drop`` removes those that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.top, self.paths = spark, f"{checkpoint_dir(spark)}/furlong-{uuid.uuid4().hex}", []
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.top}/{len(self.paths)}"
-        self.paths.append(path)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Remove what ``write`` returned; None is passed over."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            if t is not None:
-                path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-                path.getFileSystem(conf).delete(path, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written rows."""
     return Scratch(df.sparkSession).write(df)
