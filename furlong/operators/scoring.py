@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furlong.operators.quantiles import exact_quantiles
+
 TINY = 1e-15
 
 
@@ -43,8 +47,7 @@ def calibration(df: DataFrame, p: str = "p", y: str = "y", n_bins: int = 10, str
         edges = [i / n_bins for i in range(1, n_bins)]
     elif strategy == "quantile":
         shares = [i / n_bins for i in range(n_bins + 1)]
-        got = df.agg(F.percentile(p, F.array(*map(F.lit, shares))).alias("e")).first()["e"]
-        edges = sorted(set(got or []))[1:-1]
+        edges = sorted(set(exact_quantiles(df, p, shares) or []))[1:-1]
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     number = sum((F.when(F.col(p) >= e, 1).otherwise(0) for e in edges), F.lit(0))
@@ -98,10 +101,10 @@ def detectable_factor(alpha: float = 0.05, power: float = 0.8) -> float:
 
 
 def day_bootstrap(diffs: DataFrame, cluster: str, value: str = "diff", n_boot: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """2.5 and 97.5 % of the mean when days are drawn with replacement; days are summed by Spark first."""
-    import numpy as np
-
+    """2.5 and 97.5 % of the mean when days are drawn with replacement; days are summed by Spark first. Nan without days."""
     days = diffs.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(cluster).toPandas()
+    if not len(days):
+        return float("nan"), float("nan")
     rng = np.random.default_rng(seed)
     pick = rng.integers(0, len(days), size=(n_boot, len(days)))
     means = days["s"].to_numpy()[pick].sum(axis=1) / days["n"].to_numpy()[pick].sum(axis=1)
@@ -109,22 +112,60 @@ def day_bootstrap(diffs: DataFrame, cluster: str, value: str = "diff", n_boot: i
     return float(low), float(high)
 
 
-def race_bootstrap(diffs: DataFrame, group: str = "race_id", value: str = "diff", n_boot: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """2.5 and 97.5 % of the mean when races are drawn with replacement.
+#: Races that one task resamples at a time.
+BLOCK = 1 << 15
+
 
-    Each race counts in a resample as often as a Poisson draw of mean 1 says, seeded by the race and the
-    resample, so that every task draws for its own races and only ``n_boot`` pairs of sums reach the driver.
+def drawn_in_block(sizes: np.ndarray, block: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of its n draws each resample takes from ``block``, if all are drawn from blocks of ``sizes`` rows, n in all.
+
+    A multinomial draw, split in halves: a binomial draw parts the draws of a range of blocks between its halves, seeded by the range. So every
+    task finds its own numbers, and those of all blocks add up to n.
+    """
+    first, end = 0, len(sizes)
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    draws = np.full(n_boot, sums[-1], dtype=np.int64)
+    while end - first > 1:
+        mid = (first + end) // 2
+        share = (sums[mid] - sums[first]) / max(1, sums[end] - sums[first])
+        left = np.random.default_rng([seed, first, end]).binomial(draws, share)
+        draws, first, end = (left, first, mid) if block < mid else (draws - left, mid, end)
+    return draws
+
+
+def block_sums(values: np.ndarray, draws: np.ndarray, block: int, seed: int) -> np.ndarray:
+    """The sum of as many values as ``draws`` says, drawn with replacement, for each resample."""
+    rng = np.random.default_rng([seed, block])
+    return np.array([values[rng.integers(0, len(values), size=k)].sum() for k in draws])
+
+
+def race_bootstrap(
+    diffs: DataFrame, group: str = "race_id", value: str = "diff", n_boot: int = 2000, seed: int = 0, block: int = BLOCK
+) -> tuple[float, float]:
+    """2.5 and 97.5 % of the mean when as many races as there are are drawn with replacement. Nan without races.
+
+    Races are dealt into blocks by a hash of their group, ordered there by group and value, and drawn there (``drawn_in_block``). A block gives one
+    sum for each resample; only those and the blocks' sizes are brought together. Null values do not count.
     """
-    u = (F.pmod(F.xxhash64(group, "b", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    # The Poisson distribution up to 9; beyond lies less than 2e-7.
-    edges, term = [], 2.718281828459045**-1
-    for k in range(10):
-        edges.append((edges[-1] if edges else 0.0) + term)
-        term /= k + 1
-    times = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    drawn = diffs.select(group, value).where(F.col(value).isNotNull()).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    means = drawn.withColumn("times", times).groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("mean"))
-    low, high = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()["q"]
+    held = diffs.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("x")).where("x is not null")
+    n = held.count()
+    if not n:
+        return float("nan"), float("nan")
+    n_blocks = -(-n // block)
+    held = held.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(n_blocks)).cast("int"))
+    sizes = np.zeros(n_blocks, dtype=np.int64)
+    for r in held.groupBy("block").agg(F.count("*").alias("n")).collect():
+        sizes[r.block] = r.n
+
+    def resampled(table: pa.Table) -> pa.Table:
+        number = table.column("block")[0].as_py()
+        values = table.sort_by([("g", "ascending"), ("x", "ascending")]).column("x").to_numpy()
+        sums = block_sums(values, drawn_in_block(sizes, number, n_boot, seed), number, seed)
+        return pa.table({"b": np.arange(n_boot, dtype=np.int32), "total": sums})
+
+    sums = held.groupBy("block").applyInArrow(resampled, "b int, total double").groupBy("b").agg(F.sum("total").alias("total"))
+    means = np.array([r.total for r in sums.collect()]) / n  # n_boot of them
+    low, high = np.percentile(means, [2.5, 97.5])
     return float(low), float(high)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.operators import asof, forecasts, market, models, ratings, scoring, splits
+from furlong.operators.quantiles import exact_quantiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,8 @@ def market_logloss_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_overround(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = runners(spark, sf_dir).groupBy("race_id").agg((F.sum("qty") / 100).alias("total"))
-    return per.agg(F.round(F.median("total"), 6).alias("median_overround"))
+    middle = exact_quantiles(per, "total", [0.5])
+    return spark.createDataFrame([tuple(middle or [None])], "median double").select(F.round("median", 6).alias("median_overround"))
 
 
 def race_cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +177,7 @@ def clogit_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def power_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(round(models.fit_power(_market(spark, sf_dir)), 3),)], "power double")
+    return spark.createDataFrame([(round(models.fit_power(_market(spark, sf_dir)), 5),)], "power double")
 
 
 def share_market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +196,11 @@ def day_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses by fold of the market, its power form, a logit and their combination."""
-    frame = _market(spark, sf_dir).where("y is not null")
+    """Losses by fold of the market, its power form, a logit and their combination, over all windows of 91 days after the first 180."""
+    frame = _market(spark, sf_dir)
     frame = frame.select("race_id", F.col("price").alias("number"), "date", "y", F.col("p").alias("p_market"), "qty", F.col("horse").alias("part"))
-    frame = frame.cache()
-    last = frame.agg(F.max("date")).first()[0]
-    got = forecasts.walk_forward(frame, ["qty", "part"], last - dt.timedelta(days=400), span_days=200, val_days=200)
+    first = _table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate"))).first()[0]
+    got = forecasts.walk_forward(frame, ["qty", "part"], first + dt.timedelta(days=180))
     return forecasts.fold_losses(got)
 
 

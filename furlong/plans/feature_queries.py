@@ -125,7 +125,7 @@ def winner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = documents.parsed(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("props").alias("json")))
+    e = documents.parsed(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("props").alias("json")), needs_id=False)
     k = documents.path(F.col("doc"), "$.k", "bigint")
     return e.agg(F.count("*").alias("documents_read"), F.count_if("parse_error").alias("parse_errors"), F.count_if(k.isNull()).alias("missing_k"))
 
