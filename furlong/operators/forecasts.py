@@ -7,12 +7,15 @@ which may be null. Fits read Spark aggregates; only coefficients reach the drive
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.operators import market, models, scoring
+from furlong.operators import market, models, scoring, trees
 
 TINY = 1e-12
 KEYS = ["race_id", "number", "date", "y"]
@@ -20,88 +23,128 @@ KEYS = ["race_id", "number", "date", "y"]
 PAIRS = [("p_market_flb", "p_market"), ("p_logit", "p_market"), ("p_trees", "p_market"), ("p_combination", "p_market"), ("p_combination", "p_market_flb")]
 
 
-def standardised(df: DataFrame, features: list[str], train: Column) -> DataFrame:
-    """Adds z_<feature>: centred within the race, divided by its sample deviation over ``train`` rows.
+@dataclass
+class Fold:
+    """A test window [start, end), and what its forecasts are made of: fitted on the days before ``start``."""
 
-    A constant or wholly unknown feature is divided by 1.
-    """
-    z = df.withColumns({f"z_{f}": market.centred(F.col(f).cast("double"), "race_id") for f in features})
-    sd = z.where(train).agg(*[F.stddev_samp(f"z_{f}").alias(f) for f in features]).first()
-    return z.withColumns({f"z_{f}": F.col(f"z_{f}") / F.lit(sd[f] if sd[f] else 1.0) for f in features})
+    number: int
+    start: dt.date
+    end: dt.date
+    cut: dt.date
+    scale: np.ndarray
+    logit: models.Choice
+    power: models.Choice
+    combination: models.Choice | None = None
 
+    @property
+    def values(self) -> dict:
+        fundamental, own = self.combination.beta
+        return {"logit": self.logit.beta.tolist(), "fundamental": float(fundamental), "market": float(own), "power": models.power_of(self.power)}
 
-def _weighted(columns: list[str], beta) -> Column:
-    return market.softmax_in_group(sum((F.col(c) * float(b) for c, b in zip(columns, beta, strict=True)), F.lit(0.0)), "race_id")
 
+def _softmax(v: Column) -> Column:
+    w = Window.partitionBy("fold", "race_id")
+    e = F.exp(v - F.max(v).over(w))
+    return e / F.sum(e).over(w)
 
-def _logs(df: DataFrame) -> DataFrame:
-    return df.withColumns({"ln_f": F.log(scoring.clipped(F.col("p_logit"), TINY)), "ln_m": F.log(scoring.clipped(F.col("p_market"), TINY))})
 
+def _scales(days: list, features: list[str], end: dt.date) -> np.ndarray:
+    """The sample deviation of every centred feature over the days before ``end``, from sums by day; 1 for a constant or wholly unknown one."""
+    past = [r for r in days if r.date < end]
+    n = sum(r.n for r in past)
+    sums, squares = (np.array([sum(r[f"{k}{i}"] for r in past) for i in range(len(features))]) for k in ("s", "q"))
+    spread = np.maximum(squares - sums * sums / max(n, 1), 0.0) / max(n - 1, 1)
+    sd = np.sqrt(np.where(spread > 1e-18 * np.maximum(squares, 1e-300), spread, 0.0))
+    return np.where(sd > 1e-12, sd, 1.0)
 
-def boosted_trees(core: DataFrame, val: DataFrame, columns: list[str], rounds: int = 200):
-    """Gradient-boosted trees on single runners, stopped early on ``val``; shares are taken within the race later."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    rows = core.withColumn("__held", F.lit(False)).unionByName(val.withColumn("__held", F.lit(True)))
-    trees = GBTClassifier(
-        labelCol="y", featuresCol="__x", maxIter=rounds, stepSize=0.03, maxDepth=5, minInstancesPerNode=200,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="__held", seed=0,
-    ).setProbabilityCol("__probability").setRawPredictionCol("__raw").setPredictionCol("__class")
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__x"), trees]).fit(rows)
+def forecast_windows(
+    df: DataFrame, features: list[str], windows: list[tuple[dt.date, dt.date]], val_days: int = 60, trees_rounds: int = 0,
+    trees_settings: dict | None = None,
+) -> tuple[DataFrame, list[Fold]] | None:
+    """(forecasts with fold, folds) of the races in each window [start, end); windows with an empty part are left out, None if all are.
+
+    Everything is fitted on races before the window: the scale and the market's power on all of them, the
+    logit (and the trees where ``trees_rounds`` > 0) before the last ``val_days``, the
+    combination's two weights on those days. All windows are fitted together: rows are centred once, scales come from sums by day, and every
+    Newton pass serves all windows' logits and powers, then all combinations. Trees are grown window by window, with
+    ``trees_settings`` for ``trees.fit``.
+    """
+    spark, xs = df.sparkSession, [f"x{i}" for i in range(len(features))]
+    centred = df.select(*KEYS, "p_market", F.log(scoring.clipped(F.col("p_market"), TINY)).alias("ln_m"), *[
+        market.centred(F.col(f).cast("double"), "race_id").alias(x) for f, x in zip(features, xs, strict=True)
+    ]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)] + [F.sum(F.col(x) * F.col(x)).alias(f"q{i}") for i, x in enumerate(xs)]
+        days = centred.where("date is not null").groupBy("date").agg(F.count("*").alias("n"), *sums).collect()  # one a day
+        folds: list[Fold] = []
+        for start, end in windows:
+            cut = start - dt.timedelta(days=val_days)
+            if any(r.date < cut for r in days) and any(cut <= r.date < start for r in days) and any(start <= r.date < end for r in days):
+                scale = _scales(days, features, start)
+                folds.append(Fold(len(folds), start, end, cut, scale, models.Choice(xs, scale=scale, end=cut), models.power_choice("ln_m", end=start)))
+        if not folds:
+            return None
+        models.fit_choices(centred, [c for f in folds for c in (f.logit, f.power)])
+        table = [
+            (f.number, f.cut, f.start, f.end, models.power_of(f.power), *(float(b) for b in f.logit.beta / f.scale)) for f in folds
+        ]
+        kind = "fold int, cut date, start date, end date, power double, " + ", ".join(f"b{i} double" for i in range(len(xs)))
+        held = F.broadcast(spark.createDataFrame(table, kind))  # a row a fold
+        v = sum((F.col(x) * F.col(f"b{i}") for i, x in enumerate(xs)), F.lit(0.0))
+        rows = centred.join(held, (F.col("date") >= F.col("cut")) & (F.col("date") < F.col("end")))
+        rows = rows.withColumn("p_logit", _softmax(v)).withColumn("ln_f", F.log(scoring.clipped(F.col("p_logit"), TINY)))
+        for f in folds:
+            f.combination = models.Choice(["ln_f", "ln_m"], 0.01, key=f.number)
+        models.fit_choices(rows.where("date < start"), [f.combination for f in folds], key="fold")
+        weights = F.broadcast(spark.createDataFrame([(f.number, *map(float, f.combination.beta)) for f in folds], "fold int, w_f double, w_m double"))
+        out = rows.where("date >= start").join(weights, "fold").withColumns({
+            "p_market_flb": _softmax(F.col("power") * F.col("ln_m")), "p_combination": _softmax(F.col("w_f") * F.col("ln_f") + F.col("w_m") * F.col("ln_m"))
+        })
+        names = ["p_market", "p_market_flb", "p_logit", "p_combination"]
+        if trees_rounds:
+            parts = []
+            for f in folds:
+                core = centred.where(F.col("date") < F.lit(f.cut))
+                held_out = centred.where((F.col("date") >= F.lit(f.cut)) & (F.col("date") < F.lit(f.start)))
+                grown = trees.fit(core, held_out, xs, rounds=trees_rounds, row=F.xxhash64("race_id", "number"), **(trees_settings or {}))
+                parts.append(out.where(F.col("fold") == f.number).withColumn("p_trees", grown.probability(xs)))
+            out = reduce(DataFrame.unionByName, parts)
+            out = out.withColumn("p_trees", F.try_divide("p_trees", F.sum("p_trees").over(Window.partitionBy("fold", "race_id"))))
+            names.append("p_trees")
+        return out.select("fold", *KEYS, *names), folds
+    finally:
+        centred.unpersist()
 
 
 def forecast_window(
     df: DataFrame, features: list[str], test_from: dt.date, test_to: dt.date, val_days: int = 60, trees_rounds: int = 0
 ) -> tuple[DataFrame, dict] | None:
-    """(forecasts, fitted values) of the races in [test_from, test_to); None where a part has no rows.
+    """(forecasts, fitted values) of the races in [test_from, test_to); None where a part has no rows."""
+    got = forecast_windows(df, features, [(test_from, test_to)], val_days, trees_rounds)
+    return got and (got[0].drop("fold"), got[1][0].values)
 
-    Everything is fitted on earlier races: the scale and the market's power on all of them, the
-    logit (and the trees where ``trees_rounds`` > 0) before the last ``val_days``, the
-    combination's two weights on those days.
-    """
-    d = F.col("date")
-    cut = test_from - dt.timedelta(days=val_days)
-    past, core, val = d < F.lit(test_from), d < F.lit(cut), (d >= F.lit(cut)) & (d < F.lit(test_from))
-    test = (d >= F.lit(test_from)) & (d < F.lit(test_to))
-    n = df.agg(*[F.count_if(x).alias(k) for k, x in (("core", core), ("val", val), ("test", test))]).first()
-    if not all(n):
+
+def fixed_split(df: DataFrame, features: list[str], train_end: dt.date, val_end: dt.date, trees_rounds: int = 0) -> tuple[DataFrame, dict] | None:
+    """Forecasts of all races after ``val_end``: the logit and trees learn up to ``train_end``, the combination on the days between, the scale and the power on both."""
+    last = df.agg(F.max("date")).first()[0]
+    if last is None:
         return None
-    zs = [f"z_{f}" for f in features]
-    z = standardised(df.where(d < F.lit(test_to)), features, past)
-    beta = models.fit_conditional_logit(z.where(core), zs)
-    z = _logs(z.withColumn("p_logit", _weighted(zs, beta)))
-    weights = models.fit_conditional_logit(z.where(val), ["ln_f", "ln_m"], l2=0.01)
-    power = models.fit_power(df.where(past), p="p_market")
-    out = z.where(test).withColumns(
-        {"p_market_flb": market.power_share(F.col("p_market"), power, "race_id"), "p_combination": _weighted(["ln_f", "ln_m"], weights)}
-    )
-    names = ["p_market", "p_market_flb", "p_logit", "p_combination"]
-    if trees_rounds:
-        from pyspark.ml.functions import vector_to_array
-
-        fitted = boosted_trees(z.where(core), z.where(val), zs, trees_rounds)
-        out = fitted.transform(out).withColumn("p_trees", market.share_of_group(vector_to_array("__probability")[1], "race_id"))
-        names.append("p_trees")
-    values = {"logit": [float(b) for b in beta], "fundamental": float(weights[0]), "market": float(weights[1]), "power": power}
-    return out.select(*KEYS, *names), values
+    start = val_end + dt.timedelta(days=1)
+    return forecast_window(df, features, start, last + dt.timedelta(days=1), (val_end - train_end).days, trees_rounds)
 
 
 def walk_forward(
-    df: DataFrame, features: list[str], first_test: dt.date, span_days: int = 91, val_days: int = 60, trees_rounds: int = 0
+    df: DataFrame, features: list[str], first_test: dt.date, span_days: int = 91, val_days: int = 60, trees_rounds: int = 0,
+    trees_settings: dict | None = None,
 ) -> DataFrame | None:
     """Forecasts of all folds with fold; windows without a test, core or validation row are left out, None if all are."""
-    last = df.agg(F.max("date")).first()[0]
-    parts, start, fold = [], first_test, 0
+    last, windows, start = df.agg(F.max("date")).first()[0], [], first_test
     while last is not None and start <= last:
-        end = start + dt.timedelta(days=span_days)
-        got = forecast_window(df, features, start, end, val_days, trees_rounds)
-        if got is not None:
-            parts.append(got[0].select(F.lit(fold).alias("fold"), "*"))
-            fold += 1
-        start = end
-    return reduce(DataFrame.unionByName, parts) if parts else None
+        windows.append((start, start + dt.timedelta(days=span_days)))
+        start = windows[-1][1]
+    got = forecast_windows(df, features, windows, val_days, trees_rounds, trees_settings)
+    return got and got[0]
 
 
 def fold_losses(forecasts: DataFrame) -> DataFrame:
