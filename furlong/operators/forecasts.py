@@ -170,7 +170,7 @@ def reliability(forecasts: DataFrame, n_bins: int = 12) -> DataFrame:
 def comparisons(forecasts: DataFrame, n_boot: int = 2000) -> DataFrame:
     """One row per pair of ``PAIRS`` whose columns are there: losses, skill, interval, test and verdict."""
     spark = forecasts.sparkSession
-    dates = forecasts.select("race_id", "date").distinct()
+    dates = forecasts.groupBy("race_id").agg(F.min("date").alias("date"))
     frame = lambda c: forecasts.select("race_id", "y", F.col(c).alias("p"))
     held = [(a, b) for a, b in PAIRS if a in forecasts.columns and b in forecasts.columns]
     return spark.createDataFrame([{"label": f"{a[2:]} vs {b[2:]}"} | scoring.compare(frame(a), frame(b), dates, n_boot) for a, b in held])

@@ -45,3 +45,38 @@ def sample_race(races: DataFrame, starts: DataFrame, n: int = 3) -> DataFrame:
         F.slice(F.sort_array(F.collect_list(F.struct("number", "horse_name", "place", "km_time_s", "final_odds"))), 1, n).alias("runners")
     )
     return one.join(runners, "race_id", "left")
+
+
+#: Counts that should be 0.
+CHECKS = (
+    "race_parse_errors", "game_parse_errors", "start_missing_number", "start_missing_postposition", "races_no_winner", "races_multi_winner", "races_undated",
+)
+
+
+def normalisation_text(report: dict) -> str:
+    """The counts of ``normalise.normalise`` as text: what was read and written, then what should be 0 and is not."""
+    known = [k for k in report if not k.startswith(("races_sport_", "date_")) and k not in CHECKS]
+    lines = [f"{k.replace('_', ' '):<28}{report[k]:>12,}" for k in known]
+    lines.append(f"{'dates':<28}{report.get('date_min')} to {report.get('date_max')}")
+    lines += [f"{'races of ' + k.removeprefix('races_sport_'):<28}{report[k]:>12,}" for k in report if k.startswith("races_sport_")]
+    lines += [f"CHECK {k.replace('_', ' '):<22}{report[k]:>12,}" for k in CHECKS if report.get(k)]
+    if report.get("raw_games_read") and not report.get("norm_bet_distribution"):
+        lines.append("CHECK games were read, but none has a bet distribution")
+    return "\n".join(lines)
+
+
+def comparison_text(label: str, result: dict) -> str:
+    """One result of ``scoring.compare`` as text."""
+    verdict = "significant" if result["significant"] else "not significant"
+    return "\n".join([
+        f"{label}: {result['n_races']:,} races in common",
+        f"  log loss {result['model_log_loss']:.4f} against {result['market_log_loss']:.4f}, Brier {result['model_brier']:.4f} against {result['market_brier']:.4f}",
+        f"  skill {result['skill']:+.4f}, difference a race {result['mean_diff']:+.5f} [{result['ci_low']:+.5f}, {result['ci_high']:+.5f}]",
+        f"  z {result['z']:+.2f}, p {result['p']:.4f}, least detectable {result['mde']:.5f}: {verdict}",
+    ])
+
+
+def forecast_text(label: str, losses: dict) -> str:
+    """One row of ``scoring.mean_losses`` as text, and with ``median_overround`` that too."""
+    more = f", median overround {losses['median_overround']:.3f}" if losses.get("median_overround") is not None else ""
+    return f"{label}: {losses['n_races']:,} races, log loss {losses['log_loss']:.4f}, Brier {losses['brier']:.4f}{more}"

@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.functions.documents import last_wins, leg_races
+
 #: The game types and sport that are kept.
 GAME_TYPES = ["V75", "V86", "V64", "V65", "GS75", "V5", "V4", "V3", "dd", "ld"]
 SPORTS = ["trot"]
@@ -62,6 +64,13 @@ def wanted_games(calendars: DataFrame) -> DataFrame:
     return got.where(F.col("kind").isin(GAME_TYPES) & F.col("key").isNotNull()).select("day", "key").distinct()
 
 
+def sample_races(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, json) of a folder of samples: its race documents, and the legs of its games, which count where both are there."""
+    own = documents(spark, f"{folder}/race").where("doc is not null").select("key", "json", F.lit(0).alias("order"))
+    legs = leg_races(documents(spark, f"{folder}/game").where("doc is not null")).withColumn("order", F.lit(1))
+    return last_wins(own.unionByName(legs), ["key"], "order").select("key", "json")
+
+
 def fetch_keys(keys: DataFrame, kind: str, folder: str) -> DataFrame:
     """``keys`` (day, key) with json and failure, both null where nothing has landed; a payload that is no JSON object is a failure."""
     found = documents(keys.sparkSession, f"{folder}/{kind}")
