@@ -25,7 +25,7 @@ from furlong.llm.common import free_name, named, small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Suffixes of a group and words of a batch of texts, both by what a task's memory holds.
-GROUP, BATCH = 1 << 21, 1 << 21
+GROUP, BATCH = 1 << 21, 1 << 20
 #: Stands for a null id: behind every other.
 NO_ID = np.iinfo(np.int64).max
 
