@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,16 @@ STEMS = (4, 5, 6, 7)
 FOLDS = 5
 
 
+@cache
+def _lower() -> np.ndarray:
+    """The lower case of each code point below 2**16 that has one of a single code point, else itself."""
+    return np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(1 << 16)], dtype=np.uint32)
+
+
 def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes of all texts (words and word beginnings, A-Z lower-cased) and their text numbers."""
+    """Feature hashes of all texts (words and word beginnings, in lower case) and their text numbers."""
     _, c, starts = X.codes(texts)
-    c = X.lower_ascii(c)
+    c = np.where(c < 1 << 16, _lower()[np.minimum(c, (1 << 16) - 1)], c)
     ascii_word = ((c >= 97) & (c <= 122)) | ((c >= 48) & (c <= 57))
     begin, end, owner = X.words(c, starts, ~(ascii_word | (c > 127)))
     sums = X.prefix_sums(c)
