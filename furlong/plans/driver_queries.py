@@ -195,10 +195,15 @@ def day_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("race_id", F.round("variant", 6).alias("variant"))
 
 
+def market_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame that forecasts need, with quantity and part as features."""
+    frame = _market(spark, sf_dir)
+    return frame.select("race_id", F.col("price").alias("number"), "date", "y", F.col("p").alias("p_market"), "qty", F.col("horse").alias("part"))
+
+
 def walk_forward_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses by fold of the market, its power form, a logit and their combination, over all windows of 91 days after the first 180."""
-    frame = _market(spark, sf_dir)
-    frame = frame.select("race_id", F.col("price").alias("number"), "date", "y", F.col("p").alias("p_market"), "qty", F.col("horse").alias("part"))
+    frame = market_frame(spark, sf_dir)
     first = _table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate"))).first()[0]
     got = forecasts.walk_forward(frame, ["qty", "part"], first + dt.timedelta(days=180))
     return forecasts.fold_losses(got)

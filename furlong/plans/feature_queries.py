@@ -6,6 +6,8 @@ post, extended price decides the place, quantity gives the time. Lines of quanti
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,15 @@ def horse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_features(spark, sf_dir), *HISTORY)
 
 
+def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the last month, from the history of all races before it."""
+    r, s = races(spark, sf_dir), starts(spark, sf_dir)
+    cut = r.agg(F.max("date")).first()[0] - dt.timedelta(days=30)
+    _, history = features.build(r.where(F.col("date") < F.lit(cut)), s, elo=False, keep=True)
+    got = features.build(r.where(F.col("date") >= F.lit(cut)), s, elo=False, history=history)
+    return _rounded(got, *FORM, "class_move", "draw_win_rate", *PEOPLE, *HISTORY)
+
+
 def _inputs() -> list[str]:
     return [k for k in features.INPUTS if k not in ("elo", "elo_default")]
 
@@ -159,7 +170,7 @@ def dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     every = (
-        form_speed, class_move, draw_rate, people_rates, horse_history, design_matrix, race_states, odds_market, coverage_counts,
+        form_speed, class_move, draw_rate, people_rates, horse_history, history_features, design_matrix, race_states, odds_market, coverage_counts,
         country_counts, sport_counts, start_counts, winner_counts, json_quality_report, calibration_quantile, skill_score, dedup_first, dedup_last,
     )
     return {f.__name__: f for f in every}
@@ -249,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "draw_rate": FEATURES_SQL + picked("draw_win_rate"),
         "people_rates": FEATURES_SQL + picked(*PEOPLE),
         "horse_history": FEATURES_SQL + picked(*HISTORY),
+        "history_features": FEATURES_SQL + picked(*FORM, "class_move", "draw_win_rate", *PEOPLE, *HISTORY) + " where date >= (select max(date) from races) - 30",
         "design_matrix": FEATURES_SQL + _matrix_sql(),
         "race_states": STATES_SQL + "select race_id, field_size, round(win_prior + 1e-9, 6) win_prior, round(place_prior + 1e-9, 6) place_prior, round(field_class + 1e-9, 6) field_class, round(par + 1e-9, 6) par, round(variant + 1e-9, 6) variant from states",
         "odds_market": STARTS_SQL + "select start_id, round((1 / final_odds) / sum(1 / final_odds) over (partition by race_id) + 1e-9, 6) p from starts where scratched = 0",
