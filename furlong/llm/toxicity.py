@@ -100,18 +100,19 @@ def toxic_kinds(row: np.ndarray, col: np.ndarray, label: np.ndarray, n_features:
     number = np.full(len(label), -1)
     number[toxic] = np.arange(len(toxic))
     inside = number[row] >= 0
-    x = np.zeros((len(toxic), n_features), dtype=np.float32)
-    x[number[row[inside]], col[inside]] = 1
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    row, col = number[row[inside]], col[inside]
+    weight = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(toxic)), 1))  # rows of length 1
+    like = lambda v: weight * np.bincount(row, v[col], len(toxic))
     unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-9)
-    likeness = x @ unit(x.sum(axis=0))
+    total = lambda rows: np.bincount(col, (weight * rows)[row], n_features)
+    likeness = like(unit(total(np.ones(len(toxic)))))
     centres = []
     for _ in range(n_kinds):
-        centres.append(x[int(likeness.argmin())])
-        likeness = np.max([x @ c for c in centres], axis=0)
+        centres.append(total(np.arange(len(toxic)) == int(likeness.argmin())))
+        likeness = np.max([like(c) for c in centres], axis=0)
     for _ in range(rounds):
-        kind = np.argmax(x @ np.stack(centres).T, axis=1)
-        centres = [unit(x[kind == k].sum(axis=0)) for k in range(n_kinds)]
+        kind = np.argmax([like(c) for c in centres], axis=0)
+        centres = [unit(total(kind == k)) for k in range(n_kinds)]
     out[toxic, kind] = 1
     return out
 
