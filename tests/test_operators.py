@@ -133,6 +133,7 @@ def test_only_sums_go_through_one_task(spark):
         check(got._jdf.queryExecution().optimizedPlan())
 
 
+#: A small history and what comes of it.
 POINT_IN_TIME = [  # race, day, horse, post, place, km, prize, driver, trainer
     ("R0", "2024-01-01", 1, 1, 1, 75.0, 1000, 10, 20), ("R0", "2024-01-01", 2, 2, 2, 76.0, 500, 11, 21), ("R0", "2024-01-01", 3, 3, 3, 77.0, 250, 11, 21),
     ("R1", "2024-01-08", 1, 1, 1, 74.0, 1000, 10, 20), ("R1", "2024-01-08", 2, 2, 2, 78.0, 500, 11, 21), ("R1", "2024-01-08", 3, 3, None, None, 0, 11, 21),

@@ -120,3 +120,19 @@ def test_draws_follow_the_multinomial_law():
 def test_bootstraps_without_rows(spark):
     none = spark.createDataFrame([], "race_id string, diff double, date date")
     assert all(math.isnan(x) for x in (*scoring.race_bootstrap(none), *scoring.day_bootstrap(none, "date")))
+
+
+def test_written_tables_are_removed(spark):
+    import os
+
+    from furlong.scratch import Scratch, temporary
+
+    with temporary(spark):
+        held = Scratch(spark)
+        table = held.write(spark.range(3))
+        folder = held.top.removeprefix("file:")
+        assert table.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+    with Scratch(spark) as held:
+        held.write(spark.range(2))
+    assert not os.path.exists(held.top.removeprefix("file:"))
