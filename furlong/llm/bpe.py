@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,70 @@ class PerfectHash:
         return np.where(self.keys[place] == keys, self.value[place], -1)
 
 
+class KeyNumbers:
+    """Numbers 0, 1, ... for 64-bit keys as they are added: a hash table in two arrays, 20 to 40 bytes a key."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self._clear(1 << 12)
+
+    def _clear(self, size: int) -> None:
+        self.keys, self.number = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+
+    def _first_place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where each key is sought first, by what step it goes on, and the mask of places."""
+        mask = len(self.keys) - 1
+        return (keys & np.uint64(mask)).astype(np.int64), (keys >> np.uint64(40)).astype(np.int64) | 1, mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        at, step, mask = self._first_place(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            number = self.number[at]
+            same = (self.keys[at] == keys) & (number >= 0)
+            out[left[same]] = number[same]
+            on = np.flatnonzero((number >= 0) & ~same)
+            keys, left, step = keys[on], left[on], step[on]
+            at = (at[on] + step) & mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number distinct keys that have none."""
+        size, n = len(self.keys), self.n + len(keys)
+        numbers = np.arange(self.n, n, dtype=np.int32)
+        if 5 * n > 3 * size:
+            while 5 * n > 3 * size:
+                size *= 2
+            held = self.number >= 0
+            keys, numbers = np.concatenate([self.keys[held], keys]), np.concatenate([self.number[held], numbers])
+            self._clear(size)
+        self.n = n
+        at, step, mask = self._first_place(keys)
+        while len(keys):
+            free = self.number[at] < 0
+            self.number[at[free]] = numbers[free]
+            got = self.number[at] == numbers  # of several keys for a free place one gets it
+            self.keys[at[got]] = keys[got]
+            keys, numbers, step = keys[~got], numbers[~got], step[~got]
+            at = (at[~got] + step) & mask
+
+
+def _append(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``held`` with ``new`` behind its first n values, in a longer copy where it is full."""
+    if n + len(new) > len(held):
+        held = np.concatenate([held[:n], np.empty(n // 2 + len(new), dtype=held.dtype)])
+    held[n : n + len(new)] = new
+    return held
+
+
+def _places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of the counts, joined."""
+    ends = np.cumsum(counts)
+    return np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Seen:
     """Ids of pre-tokens that a worker has met, at most about ``limit`` of them."""
 
@@ -72,9 +136,16 @@ class Seen:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen: dict[int, int] = {}
+        self.seen = KeyNumbers()
+        #: Where the ids of each number start, and behind the last one the end.
         self.first, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
 
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, end = self.seen.n, int(self.first[self.seen.n])
+        self.seen.add(keys)
+        self.first = _append(self.first, n + 1, end + np.cumsum(counts))
+        self.ids = _append(self.ids, end, ids)
+
     def encode(self, texts: list[str], miss: Callable, find: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, joined, and where each text's ids start (with the end).
 
@@ -89,33 +160,29 @@ class Seen:
         sample = np.empty(len(distinct), dtype=np.int64)
         sample[which] = np.arange(len(which))  # any of the equal ones
         known = find(distinct) if find else np.full(len(distinct), -1)
-        if len(self.seen) > self.limit:
+        if self.seen.n > self.limit:
             self._forget()
         missed, hits = np.flatnonzero(known < 0), np.flatnonzero(known >= 0)
-        slot = np.array([*map(self.seen.get, distinct[missed].tolist(), repeat(-1))], dtype=np.int64)
+        slot = self.seen.find(distinct[missed])
         lost = np.flatnonzero(slot < 0)
         if len(lost):
-            tokens = [whole[begin[i] : end[i]] for i in sample[missed[lost]].tolist()]
-            found = miss(tokens)
-            n_before = len(self.first) - 1
-            slot[lost] = np.arange(n_before, n_before + len(lost))
-            self.seen.update(zip(distinct[missed[lost]].tolist(), slot[lost].tolist(), strict=True))
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
+            at = sample[missed[lost]]
+            found = miss([whole[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            slot[lost] = np.arange(self.seen.n, self.seen.n + len(lost))
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+            self._remember(distinct[missed[lost]], ids, counts)
         # Ids of distinct pre-tokens: those of the perfect hash first, then what is remembered.
         n_own = np.ones(len(distinct), dtype=np.int64)
         n_own[missed] = self.first[slot + 1] - self.first[slot]
         base = np.zeros(len(distinct), dtype=np.int64)
         base[hits] = np.arange(len(hits))
-        base[missed] = len(hits) + self.first[slot]
-        own = np.concatenate([self.whole_rank[known[hits]], self.ids])
+        base[missed] = len(hits) + np.cumsum(n_own[missed]) - n_own[missed]
+        own = np.concatenate([self.whole_rank[known[hits]], self.ids[_places(self.first[slot], n_own[missed])]])
         counts = n_own[which]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(base[which] - (ends - counts), counts) + np.arange(total)
         token_of = np.searchsorted(begin, starts)
-        bounds = np.concatenate([[0], ends])[token_of]
-        return own[place] if total else own[:0], bounds
+        bounds = np.concatenate([[0], np.cumsum(counts)])[token_of]
+        return own[_places(base[which], counts)], bounds
 
 
 class Vocabulary(Seen):

@@ -19,8 +19,8 @@ from furlong.llm.bpe import Seen
 from furlong.llm.common import cut
 
 CAPACITY = 2048
-#: Distinct pre-tokens whose ids a worker remembers, about 30 MB; beyond that it starts anew.
-REMEMBERED = 150_000
+#: Distinct pre-tokens whose ids a worker remembers, about 45 MB; beyond that it starts anew.
+REMEMBERED = 600_000
 #: Ends every document.
 END_ID = 0
 

@@ -105,6 +105,51 @@ def test_added_tokens_keep_their_ids(spark):
         assert got[i] == [*library.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_packing_looks_a_pre_token_up_once():
+    spell = lambda i: " " + "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    known = {spell(i): [i, i + 1][: 1 + i % 2] for i in range(300_000)}
+    every, looked = list(known), []
+
+    def miss(tokens):
+        looked.extend(tokens)
+        return [known[t] for t in tokens]
+
+    seen = bpe.Seen(packing.REMEMBERED)
+    for part in (every[:100_000], every[100_000:200_000], every[200_000:], every[:100_000], every[::-1]):
+        texts = ["".join(part[:10]), "", "".join(part[10:])]
+        ids, bounds = seen.encode(texts, miss)
+        assert ids.tolist() == [i for t in part for i in known[t]]
+        n = sum(len(known[t]) for t in part[:10])
+        assert bounds.tolist() == [0, n, n, len(ids)]
+    assert len(looked) == len(set(looked)) == 300_000
+    assert sum(x.nbytes for x in (seen.seen.keys, seen.seen.number, seen.first, seen.ids)) < 20e6
+
+
+def test_forgotten_pre_tokens_are_looked_up_anew():
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    miss = lambda tokens: [e.ids for e in library.encode_batch_fast(tokens, add_special_tokens=False)]
+    texts, seen = [t or "" for t in TEXTS], bpe.Seen(20)
+    for k in range(3 * len(texts)):
+        held = texts[k % 7 :: 1 + k % 3]
+        ids, bounds = seen.encode(held, miss)
+        want = [library.encode(t, add_special_tokens=False).ids for t in held]
+        assert ids.tolist() == sum(want, []) and np.diff(bounds).tolist() == [*map(len, want)]
+
+
+def test_key_numbers_tell_colliding_keys_apart():
+    rng = np.random.default_rng(5)
+    # Few low and few high bits: many keys share their first place, and their step.
+    few = (rng.integers(0, 8, 8000) << 40 | rng.integers(0, 1 << 24, 8000) << 14).astype(np.uint64)
+    keys = rng.permutation(np.unique(np.append(few, np.array([0, 2**64 - 1], dtype=np.uint64))))
+    numbers, want = bpe.KeyNumbers(), {}
+    for part in np.array_split(keys, 40):
+        assert (numbers.find(part) == -1).all()
+        numbers.add(part)
+        want |= {k: len(want) + i for i, k in enumerate(part.tolist())}
+    assert numbers.find(keys).tolist() == [want[k] for k in keys.tolist()] and numbers.n == len(keys)
+    assert len(numbers.find(keys[:0])) == 0
+
+
 def test_lower_bound_holds():
     rng = np.random.default_rng(1)
     for _ in range(200):
