@@ -115,3 +115,15 @@ def test_folds_score_trees(spark):
     )
     loss = forecasts.fold_losses(got).first()
     assert loss.loss_trees < loss.loss_logit and loss.n_races == 29 * 3
+
+
+def test_equal_rows_share_a_record():
+    rng = np.random.default_rng(3)
+    bins, y = rng.integers(0, 3, (5000, 2)).astype(np.uint8), rng.integers(0, 2, 5000).astype(float)
+    batch = trees._records(bins, y, np.arange(5000), 0.5)
+    assert batch.num_rows <= 18 + 5000 // trees.SHARED  # 18 kinds of rows, and records of at most SHARED
+    for part in (batch, batch.slice(7, 11)):
+        held, label, score, n, rows = trees._columns(part, 2)
+        assert n.sum() == len(rows) and n.max() <= trees.SHARED and (score == 0.5).all()
+        assert (np.repeat(held, n, axis=0) == bins[rows]).all() and (np.repeat(label, n) == y[rows]).all()
+    assert sorted(trees._columns(batch, 2)[4]) == list(range(5000))
